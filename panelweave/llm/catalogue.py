@@ -6,7 +6,7 @@ import importlib
 
 
 #: operator number -> module with NAME, query(spark, sf_dir) and SQL (None where SQL cannot express it)
-MODULES = ("q_exact_dedup", "q_token_counts", "q_url_filter", "q_simhash", "q_mixing", "q_language_id", "q_license_scan", "q_bpe")
+MODULES = ("q_exact_dedup", "q_token_counts", "q_url_filter", "q_simhash", "q_mixing", "q_embedding_dedup", "q_language_id", "q_license_scan", "q_bpe")
 
 
 def _modules():
