@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import importlib
 
+import corpus_pipeline
 
 #: operator number -> module with NAME, query(spark, sf_dir) and SQL (None where SQL cannot express it)
-MODULES = ("q_exact_dedup", "q_token_counts", "q_url_filter", "q_simhash", "q_mixing", "q_embedding_dedup", "q_language_id", "q_license_scan", "q_bpe")
+MODULES = ("q_exact_dedup", "q_token_counts", "q_url_filter", "q_simhash", "q_mixing", "q_embedding_dedup", "q_warc", "q_language_id", "q_license_scan", "q_bpe")
 
 
 def _modules():
@@ -14,8 +15,9 @@ def _modules():
 
 
 def queries() -> dict:
-    return {m.NAME: m.query for m in _modules()}
+    return {m.NAME: m.query for m in _modules()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {m.NAME: m.SQL for m in _modules() if m.SQL}
+    found = {m.NAME: m.SQL for m in _modules() if m.SQL}
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
