@@ -107,7 +107,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that exact dedup keeps, with their columns, one row for each group of equal texts."""
-    kept = exact_dedup(docs.select(id_col, text_col), id_col, text_col).where("kept").select(F.col(id_col).alias("_keep_id"), F.col("text_sha256").alias("_keep_sha"))
-    marked = docs.withColumn("_keep_sha", F.sha2(ascii_lower(F.col(text_col)).cast("binary"), 256))
-    rows = marked.join(kept, (marked["_keep_sha"] == kept["_keep_sha"]) & marked[id_col].eqNullSafe(kept["_keep_id"]), "left_semi")
-    return rows.drop("_keep_sha")
+    found = exact_dedup(docs.select(id_col, text_col), id_col, text_col)
+    kept = found.where("kept").select(F.col(id_col).alias("_keep_id"), F.col("text_sha256").alias("_keep_sha"))
+    marked = docs.withColumn("_text_sha", F.sha2(ascii_lower(F.col(text_col)).cast("binary"), 256))
+    rows = marked.join(kept, (marked["_text_sha"] == kept["_keep_sha"]) & marked[id_col].eqNullSafe(kept["_keep_id"]), "left_semi")
+    if not found.where(~F.col("kept") & F.col(id_col).eqNullSafe(F.col("keep_id"))).isEmpty():
+        rows = rows.dropDuplicates(["_text_sha"])  # rows equal in id and text
+    return rows.drop("_text_sha")
