@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from . import q_correspondence, q_detections, q_extras, q_geometry, q_panel, q_rates, q_scan, q_trend  # noqa: F401
+from .registry import QUERIES, SQL
+
 FLAGSHIP = "q_monthly_metrics"
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
