@@ -42,7 +42,7 @@ def annualise(spark, d):
     return out(R.annualise(monthly(spark, d), ["unit_id"], "quantity", F.col("n") >= 5))
 
 
-GINI = "g AS (SELECT parent_id, mean_annual_rate AS x, row_number() OVER (PARTITION BY parent_id ORDER BY mean_annual_rate) AS rk FROM up), gg AS (SELECT parent_id, 2 * sum(rk * x) / (count(*) * sum(x)) - (count(*) + 1.0) / count(*) AS gini FROM g GROUP BY parent_id)"
+GINI = "gr AS (SELECT parent_id, mean_annual_rate AS x, row_number() OVER (PARTITION BY parent_id ORDER BY mean_annual_rate) AS rk FROM up), gg AS (SELECT parent_id, 2 * sum(rk * x) / (count(*) * sum(x)) - (count(*) + 1.0) / count(*) AS gini FROM gr GROUP BY parent_id)"
 
 
 @query("q_dispersion", ANNUAL + f", {GINI} SELECT parent_id, count(*) AS n, round(median(mean_annual_rate), 6) AS median, round(quantile_cont(mean_annual_rate, 0.25), 6) AS q25, round(quantile_cont(mean_annual_rate, 0.75), 6) AS q75, round(quantile_cont(mean_annual_rate, 0.75) - quantile_cont(mean_annual_rate, 0.25), 6) AS iqr, round(any_value(gini), 6) AS gini FROM up JOIN gg USING (parent_id) GROUP BY parent_id")
