@@ -106,7 +106,7 @@ def rates(spark, d):
     return R.unit_summary(annual(spark, d), ["unit_id"]).select("unit_id", F.col("mean_annual_rate").alias("x"))
 
 
-@query("q_moran_global", VAL + " SELECT CAST(25 AS BIGINT) AS n, round(sum(w), 6) AS s0, round(25 / sum(w) * sum(w * a.d * b.d) / (SELECT sum(d * d) FROM z), 6) AS moran_i, round(-1.0 / 24, 6) AS expected FROM w JOIN z a ON i = a.unit_id JOIN z b ON j = b.unit_id")
+@query("q_moran_global", VAL + " SELECT (SELECT count(*) FROM z) AS n, round(sum(w), 6) AS s0, round((SELECT count(*) FROM z) / sum(w) * sum(w * a.d * b.d) / (SELECT sum(d * d) FROM z), 6) AS moran_i, round(-1.0 / ((SELECT count(*) FROM z) - 1), 6) AS expected FROM w JOIN z a ON i = a.unit_id JOIN z b ON j = b.unit_id")
 def moran(spark, d):
     return out(S.global_moran(rates(spark, d), S.row_standardised(G.queen_edges(squares(spark, d))), "unit_id", "x"))
 
@@ -119,7 +119,7 @@ def local(spark, d):
     return out(S.local_moran(rates(spark, d), S.row_standardised(G.queen_edges(squares(spark, d))), "unit_id", "x"))
 
 
-@query("q_lisa_class", LOC + ", pv AS (SELECT *, ((unit_id * 7 + 3) % 25 + 1) / 250.0 AS raw_p FROM lm), rk AS (SELECT *, row_number() OVER (ORDER BY raw_p, unit_id) AS r FROM pv), q AS (SELECT *, least(min(raw_p * 25 / r) OVER (ORDER BY r DESC ROWS UNBOUNDED PRECEDING), 1) AS bh_q FROM rk) SELECT unit_id, round(bh_q, 6) AS bh_q, CASE WHEN bh_q <= 0.05 THEN quadrant ELSE 'NS' END AS class FROM q")
+@query("q_lisa_class", LOC + ", pv AS (SELECT *, ((unit_id * 7 + 3) % 25 + 1) / 250.0 AS raw_p FROM lm), rk AS (SELECT *, row_number() OVER (ORDER BY raw_p, unit_id) AS r FROM pv), q AS (SELECT *, least(min(raw_p * (SELECT count(*) FROM pv) / r) OVER (ORDER BY r DESC ROWS UNBOUNDED PRECEDING), 1) AS bh_q FROM rk) SELECT unit_id, round(bh_q, 6) AS bh_q, CASE WHEN bh_q <= 0.05 THEN quadrant ELSE 'NS' END AS class FROM q")
 def lisa(spark, d):
     loc = S.local_moran(rates(spark, d), S.row_standardised(G.queen_edges(squares(spark, d))), "unit_id", "x")
     given = loc.withColumn("raw_p", ((F.col("unit_id") * 7 + 3) % 25 + 1) / F.lit(250.0))
