@@ -68,7 +68,7 @@ def moran_permutation(values: DataFrame, edges: DataFrame, unit: str, value: str
     i0, e = stat(z), -1 / (n - 1)
     rng = np.random.Generator(np.random.PCG64(seed))
     hit = sum(abs(stat(rng.permutation(z)) - e) >= abs(i0 - e) - 1e-15 for _ in range(permutations))
-    return {"moran_i": float(i0), "p": (1 + hit) / (1 + permutations), "status": "ok"}
+    return {"moran_i": float(i0), "p": float((1 + hit) / (1 + permutations)), "status": "ok"}
 
 
 def local_moran_permutation(values: DataFrame, edges: DataFrame, unit: str, value: str, permutations: int = 999, seed: int = 20260822, alpha: float = 0.05) -> DataFrame:
