@@ -27,7 +27,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _grouped(batches, key_of, columns: int):
+def _grouped(batches, key_of):
     """Joins sorted batches so that each yielded one holds whole groups; a list column stays a list column."""
     held = None
     for batch in batches:
@@ -83,13 +83,19 @@ def _seeded_edges(nodes: DataFrame, orders: int, reach: int, seed: int, code_bit
     lined = codes.repartitionByRange("t", "label", "dim", "code", F.xxhash64("node")).sortWithinPartitions("t", "label", "dim", "code", F.xxhash64("node"))
 
     def near(batches):
-        for table, _ in _grouped(batches, lambda t: _ids(t.column("t"), t.column("label"), t.column("dim")), 6):
-            node, group, v = table.column("node").to_numpy(), _ids(table.column("t"), table.column("label"), table.column("dim")), table.column("v").combine_chunks()
-            for s, e in _bounds(group):
+        tail = None  # the last rows seen, so that windows cross batches and no more than a batch is held
+        for batch in batches:
+            table, old = pa.Table.from_batches([batch]), 0 if tail is None else tail.num_rows
+            table = (table if tail is None else pa.concat_tables([tail, table])).combine_chunks()
+            node, v = table.column("node").to_numpy(), table.column("v").combine_chunks()
+            for s, e in _bounds(_ids(table.column("t"), table.column("label"), table.column("dim"))):
                 m, ids = _matrix(v.slice(s, e - s)), node[s:e]
                 for step in range(1, min(reach, len(ids) - 1) + 1):
-                    cos = np.einsum("ij,ij->i", m[:-step], m[step:])
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[:-step]), pa.array(ids[step:]), pa.array(cos)], ["a", "b", "cos"])
+                    lo = max(step, old - s)  # pairs whose second row is new
+                    if lo < len(ids):
+                        cos = np.einsum("ij,ij->i", m[lo - step : len(ids) - step], m[lo:])
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[lo - step : len(ids) - step]), pa.array(ids[lo:]), pa.array(cos)], ["a", "b", "cos"])
+            tail = table.slice(max(0, table.num_rows - reach))
 
     return lined.mapInArrow(near, f"a {kinds['node']}, b {kinds['node']}, cos double")
 
@@ -125,7 +131,7 @@ def _descend(nodes: DataFrame, lists: DataFrame, k: int) -> DataFrame:
     kind = dict((f.name, f.dataType.simpleString()) for f in nodes.schema)["node"]
 
     def joined(batches):
-        for table, keys in _grouped(batches, lambda t: t.column("pivot").to_numpy(), 3):
+        for table, keys in _grouped(batches, lambda t: t.column("pivot").to_numpy()):
             x, m = table.column("x").to_numpy(), None
             v = table.column("v").combine_chunks()
             widths = np.diff(v.offsets.to_numpy())
@@ -159,7 +165,7 @@ def _counts_in_groups(nodes: DataFrame, roots: DataFrame, threshold: float, bloc
     kind = dict((f.name, f.dataType.simpleString()) for f in nodes.schema)["node"]
 
     def compared(batches):
-        for table, keys in _grouped(batches, lambda t: _ids(t.column("root"), t.column("lo"), t.column("hi")), 7):
+        for table, keys in _grouped(batches, lambda t: _ids(t.column("root"), t.column("lo"), t.column("hi"))):
             part, node, copies = table.column("part").to_numpy(), table.column("node").to_numpy(), table.column("copies").to_numpy()
             v, lo = table.column("v").combine_chunks(), table.column("lo").to_numpy()
             ids, links = [], []

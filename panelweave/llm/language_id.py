@@ -30,8 +30,8 @@ def train(docs: DataFrame, docs_per_lang: int = 3000, top_words: int = 40_000, t
     """A model from the labelled rows of ``docs``; None if there is none.
 
     Bounds, so that the model's size does not grow with the input: about
-    ``docs_per_lang`` documents of a language (by a hash of the id and text, all where there
-    are fewer), the ``top_words`` commonest words and ``top_grams`` commonest
+    ``docs_per_lang`` documents of a language (by a hash of the id, all where there are
+    fewer), the ``top_words`` commonest words and ``top_grams`` commonest
     n-grams of a language.
     """
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))

@@ -141,6 +141,7 @@ def brute_links(rows, threshold=0.98):
 
 
 def test_embedding_recall_and_edges(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")  # windows and groups that cross batches
     rng = np.random.default_rng(1)
     rows, k = [], 0
     for label in (1, 2, 3):
@@ -160,6 +161,7 @@ def test_embedding_recall_and_edges(spark):
     assert same / len(want) > 0.95
     assert all(r["kept"] == (r["component_id"] == i) for i, r in got.items())
     assert V.embedding_dedup(df.where("vec_id = -1")).count() == 0
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 @pytest.mark.parametrize("zipped", [True, False])
