@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from .words import trie_walk
 
 #: Runs and words whose encodings a worker keeps before it starts anew.
-KEEP = 400_000
+KEEP = 180_000
+#: Texts whose new words are walked together.
+BATCH = 1024
 #: Characters that Python splits at and the vocabulary file's pattern does not.
 BASE = (-1, "", "")
 ODD_SPACE = regex.compile("[\x1c-\x1f]")
@@ -67,6 +69,7 @@ class WordBPE:
             self.made.setdefault(pair[0] + pair[1], (i, *pair))
         self.size_of = {t: len(self.split(t)) for t in self.vocab}
         self.entry: dict[str, bool] = {}
+        self.pair_ok: dict[tuple[str, str], bool] = {}
         self.known: dict[str | tuple[str], tuple[str, int, str]] = {}
         self.known_words: dict[str, tuple[str, int, str]] = {}
 
@@ -106,6 +109,15 @@ class WordBPE:
 
     def adjacent(self, left: str, right: str) -> bool:
         """Whether two tokens stay two when joined: undoing their merges from the last back, no merge across the seam comes earlier."""
+        key = (left, right)
+        found = self.pair_ok.get(key)
+        if found is None:
+            if len(self.pair_ok) > KEEP:
+                self.pair_ok.clear()
+            found = self.pair_ok[key] = self.seam(left, right)
+        return found
+
+    def seam(self, left: str, right: str) -> bool:
         rank, made = self.rank, self.made
         limit = len(rank) + 1
         while True:
@@ -224,12 +236,12 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
         coder = encoder(shared.value)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
-            for lo in range(0, batch.num_rows, 256):
+            for lo in range(0, batch.num_rows, BATCH):
                 rows = []
-                for joined, n, decoded in coder.encode_batch([t or "" for t in texts.slice(lo, 256).to_pylist()]):
+                for joined, n, decoded in coder.encode_batch([t or "" for t in texts.slice(lo, BATCH).to_pylist()]):
                     rows.append((n, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), joined if keep_text else None, decoded if keep_text else None))
                 cols = list(zip(*rows, strict=True))
-                out = [ids.slice(lo, 256), pa.array(cols[0], pa.int64()), pa.array(cols[1]), pa.array(cols[2])]
+                out = [ids.slice(lo, BATCH), pa.array(cols[0], pa.int64()), pa.array(cols[1]), pa.array(cols[2])]
                 names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if keep_text:
                     out += [pa.array(cols[3]), pa.array(cols[4])]

@@ -70,7 +70,7 @@ def _log_tables(counts: dict[str, dict[str, int]], langs: list[str]) -> dict[str
 class Scorer:
     """Scores texts by a model; keeps the scores of ``keep`` unseen words at most."""
 
-    def __init__(self, model: dict, keep: int = 300_000):
+    def __init__(self, model: dict, keep: int = 60_000):
         self.langs, self.words, self.grams, self.longest, self.keep = model["langs"], model["words"], model["grams"], model["longest"], keep
         self.unseen: dict[str, tuple[float, ...] | None] = {}
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .words import trie_walk
 
 #: Pre-tokens whose counts a worker keeps before it starts anew.
-KEEP = 600_000
+KEEP = 400_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
