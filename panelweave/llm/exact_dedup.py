@@ -100,7 +100,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "exact")
     classes = exact_classes(docs, scratch, id_col, text_col, block_bytes)
-    groups = classes.groupBy("level", "name").agg(F.max(id_col).alias("keep_id"), F.sum("copies").alias("group_size"))
+    # written, so that both sides of the join are plain shuffles and a large group can be split among tasks
+    groups = scratch.save(classes.groupBy("level", "name").agg(F.max(id_col).alias("keep_id"), F.sum("copies").alias("group_size")))
     rows = classes.join(groups, ["level", "name"]).select(id_col, "keep_id", "group_size", "text_sha256", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_nth"))
     return rows.select(id_col, "keep_id", F.col("group_size").cast("long").alias("group_size"), (F.col("keep_id").eqNullSafe(F.col(id_col)) & (F.col("_nth") == 1)).alias("kept"), "text_sha256")
 
