@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -21,12 +22,16 @@ from pyspark.sql import functions as F
 
 from .words import trie_walk
 
-#: Runs and words whose encodings a worker keeps before it starts anew.
-KEEP = 180_000
+#: Runs, and words, whose encodings a worker keeps in its newer half; when that is full it becomes the older half,
+#: from which those met again return, so that frequent ones stay.
+KEEP = 120_000
 #: Texts whose new words are walked together.
 BATCH = 1024
-#: Characters that Python splits at and the vocabulary file's pattern does not.
+#: What a token without a merge is made of.
 BASE = (-1, "", "")
+#: A vocabulary entry not yet looked at.
+UNSEEN = "?"
+#: Characters that Python splits at and the vocabulary file's pattern does not.
 ODD_SPACE = regex.compile("[\x1c-\x1f]")
 
 
@@ -59,24 +64,28 @@ class WordBPE:
         self.pattern = regex.compile(d["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.added = {t["content"]: t["id"] for t in d["added_tokens"]}
         self.added_pattern = regex.compile("|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)))
-        self.token = {i: t for t, i in [*self.vocab.items(), *self.added.items()]}
-        self.symbol = byte_symbols()
-        #: what a vocabulary entry may end with; a longer run that is not here ends no entry
-        self.endings = {t[i:] for t in self.vocab for i in range(len(t) - len(self.end) * t.endswith(self.end))}
+        if any(self.vocab.get(t, i) != i for t, i in self.added.items()):
+            raise ValueError("an added token with two ids")
+        self.id_text = {t: str(i) for t, i in [*self.vocab.items(), *self.added.items()]}
+        self.symbol = dict(enumerate(byte_symbols()))
+        self.same = {t: t for t in self.id_text}
+        #: what a vocabulary entry may end with, each with the entry it is itself, or "" if none; a run that is not here ends no entry
+        self.entry = {t[i:]: "" for t in self.vocab for i in range(len(t) - len(self.end) * t.endswith(self.end))}
+        self.entry.update(dict.fromkeys(self.vocab, UNSEEN))
         #: how each entry is made: the rank of its merge, and its two halves
         self.made: dict[str, tuple[int, str, str]] = {}
         for pair, i in self.rank.items():
             self.made.setdefault(pair[0] + pair[1], (i, *pair))
         self.size_of = {t: len(self.split(t)) for t in self.vocab}
-        self.entry: dict[str, bool] = {}
         self.pair_ok: dict[tuple[str, str], bool] = {}
-        self.known: dict[str | tuple[str], tuple[str, int, str]] = {}
-        self.known_words: dict[str, tuple[str, int, str]] = {}
+        self.known: dict[str | tuple[str], tuple[str, ...]] = {}
+        self.known_older: dict[str | tuple[str], tuple[str, ...]] = {}
+        self.words: dict[str, tuple[str, ...]] = {}
+        self.words_older: dict[str, tuple[str, ...]] = {}
 
     def symbols(self, word: str) -> tuple[str, ...]:
-        s = [self.symbol[b] for b in word.encode()]
-        s[-1] += self.end
-        return tuple(s)
+        s = word.encode().decode("latin-1").translate(self.symbol)
+        return (*s[:-1], s[-1] + self.end)
 
     def merged(self, symbols: list[str]) -> list[str]:
         """Plain BPE of a few symbols: the lowest-ranked pair first, the leftmost of equals."""
@@ -100,21 +109,16 @@ class WordBPE:
         body, tail = (token[: -len(self.end)], self.end) if token.endswith(self.end) else (token, "")
         return [*body[:-1], body[-1] + tail]
 
-    def whole(self, token: str) -> bool:
-        """Whether a string is a vocabulary entry that its own symbols encode to."""
-        found = self.entry.get(token)
-        if found is None:
-            found = self.entry[token] = token in self.vocab and len(self.merged(self.split(token))) == 1
+    def looked_at(self, token: str) -> str:
+        """A vocabulary entry, or "" if its own symbols do not encode to it."""
+        found = self.entry[token] = self.same[token] if len(self.merged(self.split(token))) == 1 else ""
         return found
 
     def adjacent(self, left: str, right: str) -> bool:
         """Whether two tokens stay two when joined: undoing their merges from the last back, no merge across the seam comes earlier."""
-        key = (left, right)
-        found = self.pair_ok.get(key)
-        if found is None:
-            if len(self.pair_ok) > KEEP:
-                self.pair_ok.clear()
-            found = self.pair_ok[key] = self.seam(left, right)
+        if len(self.pair_ok) > KEEP:
+            self.pair_ok.clear()
+        found = self.pair_ok[left, right] = self.seam(left, right)
         return found
 
     def seam(self, left: str, right: str) -> bool:
@@ -134,31 +138,38 @@ class WordBPE:
     def enter(self, path: list[str], states: list) -> str:
         """The last token of the path's encoding: the one that may follow the encoding of what is before it."""
         i, text = len(path) - 1, path[-1]
-        whole, endings = self.whole, self.endings
-        choices = []
-        while text in endings:
-            if whole(text):
-                choices.append((i, text))
+        entry, choices = self.entry.get, []
+        while (token := entry(text)) is not None:
+            if token is UNSEEN:
+                token = self.looked_at(text)
+            if token:
+                choices.append((i, token))
             if i == 0:
                 break
             i -= 1
             text = path[i] + text
+        kept = self.pair_ok.get
         for i, token in reversed(choices):
-            if i == 0 or self.adjacent(states[i], token):
+            if i == 0:
+                return token
+            fits = kept((states[i], token))
+            if fits is None:
+                fits = self.adjacent(states[i], token)
+            if fits:
                 return token
         raise ValueError("a byte without a token")
 
     def learn(self, words) -> None:
         """Encodes distinct words that were not seen before, all in one walk."""
         back = {self.symbols(w): w for w in words}
-        size_of, vocab = self.size_of, self.vocab
+        size_of, known = self.size_of, self.words
         for symbols, states in trie_walk(back, self.enter, None):
             tokens, i = [], len(symbols)
             while i:
                 tokens.append(states[i])
                 i -= size_of[states[i]]
             tokens.reverse()
-            self.known_words[back[symbols]] = (" ".join([str(vocab[t]) for t in tokens]), len(tokens), " ".join(tokens))
+            known[back[symbols]] = tuple(tokens)
 
     def chunks(self, text: str) -> list:
         """Runs of a text between white space, which no piece crosses, as strings; an added token as a tuple of one."""
@@ -176,23 +187,32 @@ class WordBPE:
         return low.split()
 
     def learn_runs(self, runs) -> None:
-        pieces = {r: self.pattern.findall(r) for r in runs if r.__class__ is str}
-        self.learn({w for ws in pieces.values() for w in ws} - self.known_words.keys())
-        for r, ws in pieces.items():
-            found = [self.known_words[w] for w in ws]
-            self.known[r] = (" ".join([f[0] for f in found]), sum([f[1] for f in found]), " ".join([f[2] for f in found]))
+        """Makes runs known: from the older half, as added tokens, or from their words."""
+        older, pieces = self.known_older.get, {}
         for r in runs:
-            if r.__class__ is tuple:
-                self.known[r] = (str(self.added[r[0]]), 1, r[0])
+            found = older(r)
+            if found is not None:
+                self.known[r] = found
+            elif r.__class__ is tuple:
+                self.known[r] = r
+            else:
+                pieces[r] = self.pattern.findall(r)
+        fresh = set(chain.from_iterable(pieces.values())) - self.words.keys()
+        kept = {w: self.words_older[w] for w in fresh & self.words_older.keys()}
+        self.words.update(kept)
+        self.learn(fresh - kept.keys())
+        words = self.words
+        for r, ws in pieces.items():
+            self.known[r] = words[ws[0]] if len(ws) == 1 else tuple(chain.from_iterable([words[w] for w in ws]))
 
     def encode_batch(self, texts: list[str]) -> Iterator[tuple[str, int, str]]:
         """(ids joined by blanks, their number, decoded text) of each text."""
         if len(self.known) > KEEP:
-            self.known.clear()
-        if len(self.known_words) > KEEP:
-            self.known_words.clear()
+            self.known, self.known_older = {}, self.known
+        if len(self.words) > KEEP:
+            self.words, self.words_older = {}, self.words
         rows = [self.chunks(t) for t in texts]
-        get = self.known.get
+        get, id_text = self.known.get, self.id_text.__getitem__
         found = [list(map(get, row)) for row in rows]
         fresh = [k for k, f in enumerate(found) if None in f]
         if fresh:
@@ -200,8 +220,8 @@ class WordBPE:
             for k in fresh:
                 found[k] = list(map(get, rows[k]))
         for f in found:
-            ids, counts, decoded = zip(*f, strict=True) if f else ((), (), ())
-            yield " ".join(ids), sum(counts), " ".join(decoded)
+            tokens = list(chain.from_iterable(f))
+            yield " ".join(map(id_text, tokens)), len(tokens), " ".join(tokens)
 
 
 def lowered(text: str) -> str:
