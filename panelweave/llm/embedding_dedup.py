@@ -4,7 +4,9 @@ Equal vectors are one node. A neighbour list starts from neighbours in a few
 sorted orders of random-hyperplane codes and is refined by joining the
 neighbours of each node with each other: a list keeps its best ``k``. Where a
 list is saturated, all of its entries being at or above the threshold, it is
-enlarged to what its whole group of linked nodes holds, compared in blocks. An
+enlarged by the best ``k`` of other groups of linked nodes; every link found
+joins its groups, whether the lists keep it or not, and rounds go on until
+none joins two. The links within a group are counted whole, in blocks. An
 audit of a bounded set of nodes against all rows measures recall; while it is
 under the target the descent goes on.
 """
@@ -115,17 +117,36 @@ def _bounds(keys: np.ndarray):
     return list(zip(cuts, cuts[1:], strict=False)) if len(keys) else []
 
 
-def _lists(edges: DataFrame, k: int) -> DataFrame:
-    """(a, b, cos): the k nearest of each node among the edges, taken both ways."""
+def _lists(edges: DataFrame, k: int, roots: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, cos, ra, rb, other, kept) of the edges taken both ways, with the groups of both ends.
+
+    ``kept`` are the k nearest of each node and, if all of these link, the k
+    nearest of other groups too; links to another group stay whether kept or not.
+    """
     both = edges.select("a", "b", "cos").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "cos")).where("a <> b")
     both = both.groupBy("a", "b").agg(F.max("cos").alias("cos"))
-    return both.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cos"), "b"))).where(F.col("r") <= k).drop("r")
+    both = both.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b").withColumn("other", F.col("ra") != F.col("rb"))
+    near = lambda *by: F.row_number().over(Window.partitionBy("a", *by).orderBy(F.desc("cos"), "b")) <= k
+    full = F.sum((F.col("cos") >= threshold).cast("long")).over(Window.partitionBy("a")) >= k
+    kept = near() | (near("other") & F.col("other") & full)
+    return both.withColumn("kept", kept).where(F.col("kept") | (F.col("other") & (F.col("cos") >= threshold)))
+
+
+def _merged(found: DataFrame, roots: DataFrame, threshold: float, scratch: Scratch) -> DataFrame | None:
+    """(node, root) after the links found between groups join these; None if there is no such link."""
+    links = scratch.save(found.where(F.col("other") & (F.col("cos") >= threshold)).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+    if links.isEmpty():
+        return None
+    joined = connected_components(links, scratch).withColumnRenamed("node", "root")
+    kind = dict(roots.dtypes)["root"]
+    return scratch.save(roots.join(joined, "root", "left").select("node", F.coalesce("component", "root").cast(kind).alias("root")))
 
 
 def _descend(nodes: DataFrame, lists: DataFrame, k: int) -> DataFrame:
-    """(a, b, cos) of pairs of neighbours of the same node; a pivot meets its list and as many of those that list it."""
-    back = lists.select(F.col("b").alias("pivot"), F.col("a").alias("x"), "cos")
-    back = back.withColumn("r", F.row_number().over(Window.partitionBy("pivot").orderBy(F.desc("cos"), "x"))).where(F.col("r") <= k).select("pivot", "x")
+    """(a, b, cos) of pairs of neighbours of the same node; a pivot meets its list and as many of those that list it, of its own group and of others."""
+    lists = lists.where("kept")
+    back = lists.select(F.col("b").alias("pivot"), F.col("a").alias("x"), "cos", "other")
+    back = back.withColumn("r", F.row_number().over(Window.partitionBy("pivot", "other").orderBy(F.desc("cos"), "x"))).where(F.col("r") <= k).select("pivot", "x")
     member = lists.select(F.col("a").alias("pivot"), F.col("b").alias("x")).union(back).distinct()
     rows = member.join(nodes.select(F.col("node").alias("x"), "v"), "x").repartition("pivot").sortWithinPartitions("pivot", "x")
     kind = dict((f.name, f.dataType.simpleString()) for f in nodes.schema)["node"]
@@ -139,7 +160,7 @@ def _descend(nodes: DataFrame, lists: DataFrame, k: int) -> DataFrame:
                 pick = np.flatnonzero(widths == w)
                 m, ids, pivots = _matrix(v.take(pa.array(pick))), x[pick], keys[pick]
                 out_a, out_b, out_c = [], [], []
-                for step in range(1, 2 * k):
+                for step in range(1, 4 * k):
                     same = np.flatnonzero(pivots[step:] == pivots[:-step]) if step < len(pivots) else np.empty(0, np.int64)
                     if not len(same):
                         break
@@ -234,14 +255,24 @@ def embedding_dedup(rows: DataFrame, threshold: float = 0.98, k: int = 8, rounds
     scratch = Scratch(rows.sparkSession, "embed")
     classes = scratch.save(valid_nodes(rows, id_col, vec_col, label_col))
     nodes = scratch.save(_unit(classes))
-    lists = scratch.save(_lists(_seeded_edges(nodes, orders, reach, seed), k))
+    roots = scratch.save(nodes.select("node", F.col("node").alias("root")))
+    lists = scratch.save(_lists(_seeded_edges(nodes, orders, reach, seed), k, roots, threshold))
+    joined = _merged(lists, roots, threshold, scratch)
+    roots = roots if joined is None else joined
     done = 0
     while True:
-        for _ in range(rounds if not done else 1):
-            fresh = scratch.save(_lists(_descend(nodes, lists, k).union(lists), k))
+        least = done + (1 if done else rounds)
+        while True:
+            fresh = scratch.save(_lists(_descend(nodes, lists, k).union(lists.where("kept").select("a", "b", "cos")), k, roots, threshold))
             scratch.drop(lists)
             lists, done = fresh, done + 1
-        linked = scratch.save(connected_components(lists.where(F.col("cos") >= threshold).select("a", "b"), scratch).select("node", F.col("component").alias("root")))
+            joined = _merged(lists, roots, threshold, scratch)
+            if joined is not None:
+                roots = joined
+            elif done >= least:
+                break
+        sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        linked = scratch.save(roots.join(sizes, "root").select("node", "root"))
         counts = scratch.save(_counts_in_groups(nodes, linked, threshold, block, scratch))
         if done >= most_rounds or audit_recall(nodes, counts, threshold, audit) >= target_recall:
             break

@@ -164,6 +164,23 @@ def test_embedding_recall_and_edges(spark):
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_embedding_links_between_dense_groups(spark):
+    rng = np.random.default_rng(4)
+    turn, rows = np.arccos(0.984), []
+    for g in range(2):
+        c = np.zeros(64)
+        c[0], c[1] = np.cos(g * turn), np.sin(g * turn)
+        for _ in range(60):
+            noise = rng.standard_normal(64)
+            noise[:2] = 0
+            rows.append((len(rows), [float(x) for x in c + 0.03 * noise / np.linalg.norm(noise)], 1))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    want = brute_links(rows)
+    assert len({c for _, c in want.values()}) == 1 and all(n == 119 for n, _ in want.values())
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in V.embedding_dedup(df).collect()}
+    assert got == want
+
+
 @pytest.mark.parametrize("zipped", [True, False])
 def test_warc_round_trip(spark, zipped):
     inner = "WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.1\r\nWARC-Record-ID: <urn:x-page:99>\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
