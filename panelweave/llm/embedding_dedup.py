@@ -7,12 +7,15 @@ list is saturated, all of its entries being at or above the threshold, it is
 enlarged by the best ``k`` of other groups of linked nodes; every link found
 joins its groups, whether the lists keep it or not, and rounds go on until
 none joins two. The links within a group are counted whole, in blocks. An
-audit of a bounded set of nodes against all rows measures recall; while it is
-under the target the descent goes on.
+audit of a bounded set of nodes of every group size against all rows measures
+recall by node; while it is under the target the search is widened by further
+orders with longer windows, and in the end all rows of a label are compared in blocks.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -102,6 +105,17 @@ def _seeded_edges(nodes: DataFrame, orders: int, reach: int, seed: int, code_bit
     return lined.mapInArrow(near, f"a {kinds['node']}, b {kinds['node']}, cos double")
 
 
+def _orders_for(nodes: DataFrame, threshold: float, orders: int, reach: int, code_bits: int = 20, missed: float = 0.002) -> tuple[int, int]:
+    """(orders, bits of a code) for the largest label: a bit parts a pair at the threshold by its angle over pi.
+
+    Such a pair meets in a window if its codes share the bits that leave about ``reach`` rows; so many orders leave ``missed`` of the pairs.
+    """
+    n = nodes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    shared = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** max(0.0, math.log2(n / reach))
+    need = math.ceil(math.log(missed) / math.log(1 - shared)) if 0 < shared < 1 else orders
+    return max(orders, need), min(62, max(code_bits, math.ceil(math.log2(n + 1)) + 6))
+
+
 def _ids(*columns) -> np.ndarray:
     """An integer for each run of equal rows."""
     change = None
@@ -175,14 +189,56 @@ def _descend(nodes: DataFrame, lists: DataFrame, k: int) -> DataFrame:
     return rows.select("pivot", "x", "v").mapInArrow(joined, f"a {kind}, b {kind}, cos double")
 
 
-def _counts_in_groups(nodes: DataFrame, roots: DataFrame, threshold: float, block: int, scratch: Scratch) -> DataFrame:
-    """(node, links, other) for nodes of a group: the copies of the other nodes at or above the threshold, and the least such node; in pairs of blocks."""
+def _in_blocks(nodes: DataFrame, roots: DataFrame, block: int) -> DataFrame:
+    """(root, lo, hi, part, node, copies, v): the nodes of each group in pairs of blocks, each pair together and in order."""
     sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
     rows = roots.join(sizes, "root").join(nodes.select("node", "copies", "v"), "node")
     parts = F.ceil(F.col("n") / block).cast("int")
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     rows = rows.select("root", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), F.col("mine").alias("part"), "node", "copies", "v")
-    dealt = rows.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "part", "node")
+    return rows.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "part", "node")
+
+
+def _all_links(nodes: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(a, b): links with the same components as all pairs of a label and length at or above the threshold; a forest for each pair of blocks."""
+    least = nodes.groupBy("label", "dim").agg(F.min("node").alias("root"))
+    dealt = _in_blocks(nodes, nodes.join(least, ["label", "dim"]).select("node", "root"), block)
+    kind = dict((f.name, f.dataType.simpleString()) for f in nodes.schema)["node"]
+
+    def linked(batches):
+        for table, keys in _grouped(batches, lambda t: _ids(t.column("root"), t.column("lo"), t.column("hi"))):
+            part, node, lo = table.column("part").to_numpy(), table.column("node").to_numpy(), table.column("lo").to_numpy()
+            v = table.column("v").combine_chunks()
+            for s, e in _bounds(keys):
+                m, ids, left = _matrix(v.slice(s, e - s)), node[s:e], part[s:e] == lo[s]
+                near = np.zeros((e - s, e - s), bool)
+                if left.all():
+                    near = m @ m.T >= threshold
+                    np.fill_diagonal(near, False)
+                else:
+                    across = m[left] @ m[~left].T >= threshold
+                    near[np.ix_(left, ~left)], near[np.ix_(~left, left)] = across, across.T
+                waiting = near.any(axis=1)
+                heads, tails = [], []
+                while waiting.any():
+                    front = np.flatnonzero(waiting)[:1]
+                    waiting[front] = False
+                    while len(front):
+                        met = np.flatnonzero(near[front].any(axis=0) & waiting)
+                        if len(met):
+                            heads.append(ids[front[near[np.ix_(front, met)].argmax(axis=0)]])
+                            tails.append(ids[met])
+                            waiting[met] = False
+                        front = met
+                if heads:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads)), pa.array(np.concatenate(tails))], ["a", "b"])
+
+    return dealt.mapInArrow(linked, f"a {kind}, b {kind}")
+
+
+def _counts_in_groups(nodes: DataFrame, roots: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(node, links) for nodes of a group: the copies of the other nodes at or above the threshold; in pairs of blocks."""
+    dealt = _in_blocks(nodes, roots, block)
     kind = dict((f.name, f.dataType.simpleString()) for f in nodes.schema)["node"]
 
     def compared(batches):
@@ -207,20 +263,30 @@ def _counts_in_groups(nodes: DataFrame, roots: DataFrame, threshold: float, bloc
     return dealt.mapInArrow(compared, f"node {kind}, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
-def audit_recall(nodes: DataFrame, edges_of: DataFrame, threshold: float, sample: int) -> float:
-    """Share of the true links of at most ``sample`` nodes (by hash) that ``edges_of`` (node, links) counts; 1 if they have none.
+def audit_recall(nodes: DataFrame, roots: DataFrame, threshold: float, sample: int) -> float:
+    """The least recall of any class of nodes, 1 if no node asked has links; classes are by the power of two of the true links.
 
-    The sampled vectors, bounded by ``sample``, go to every task, each of which counts against its own rows.
+    A node's recall is the share of its true links, each distinct vector once,
+    that lie in its group; a class's the mean over its nodes that have links.
+    About ``sample`` nodes of each power of two of the group size found are
+    asked, by hash, each weighted by how many it stands for; their vectors go
+    to every task, which counts against its own rows.
     """
-    asked = nodes.orderBy(F.xxhash64("node"), "node").limit(sample).select("node", "label", "dim", "v").collect()
+    placed = nodes.join(roots, "node").join(roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root").withColumn("stratum", F.floor(F.log2("n")).cast("int"))
+    totals = {r["stratum"]: r["count"] for r in placed.groupBy("stratum").count().collect()}
+    ring, some = 1 << 30, F.lit(False)
+    for stratum, n in totals.items():
+        some = some | ((F.col("stratum") == stratum) & (F.pmod(F.xxhash64("node", F.lit("audit")), F.lit(ring)) < int(ring * min(1.0, sample / n))))
+    asked = placed.where(some).select("node", "label", "dim", "v", "root", "stratum").collect()
     if not asked:
         return 1.0
+    taken: dict = {}
     groups: dict = {}
     for r in asked:
-        groups.setdefault((r["label"], r["dim"]), ([], []))
-        groups[r["label"], r["dim"]][0].append(r["node"])
-        groups[r["label"], r["dim"]][1].append(r["v"])
-    groups = {k: (np.array(a), np.array(b)) for k, (a, b) in groups.items()}
+        taken[r["stratum"]] = taken.get(r["stratum"], 0) + 1
+        for held, x in zip(groups.setdefault((r["label"], r["dim"]), ([], [], [])), (r["node"], r["v"], r["root"]), strict=True):
+            held.append(x)
+    groups = {k: tuple(map(np.array, x)) for k, x in groups.items()}
     kind = dict((f.name, f.dataType.simpleString()) for f in nodes.schema)["node"]
 
     def count(batches):
@@ -228,17 +294,26 @@ def audit_recall(nodes: DataFrame, edges_of: DataFrame, threshold: float, sample
             t = batch.to_pandas()
             for key, own in t.groupby(["label", "dim"]):
                 if key in groups:
-                    near = np.stack(own["v"].to_numpy()) @ groups[key][1].T >= threshold
-                    near &= own["node"].to_numpy()[:, None] != groups[key][0][None, :]
-                    got = own["copies"].to_numpy() @ near
-                    yield pa.RecordBatch.from_arrays([pa.array(groups[key][0]), pa.array(got.astype(np.int64))], ["node", "links"])
-
-    true = {r[0]: r[1] for r in nodes.select("label", "dim", "node", "copies", "v").mapInArrow(count, f"node {kind}, links long").groupBy("node").agg(F.sum("links")).collect()}
-    total = sum(true.values())
-    if not total:
-        return 1.0
-    found = {r[0]: r[1] for r in edges_of.where(F.col("node").isin(list(true))).collect()}
-    return sum(min(found.get(n, 0), x) for n, x in true.items()) / total
+                    ids, vs, of = groups[key]
+                    links, found = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+                    for at in range(0, len(own), 1024):
+                        some_rows = own.iloc[at : at + 1024]
+                        near = np.stack(some_rows["v"].to_numpy()) @ vs.T >= threshold
+                        near &= some_rows["node"].to_numpy()[:, None] != ids[None, :]
+                        links += near.sum(axis=0)
+                        found += (near & (some_rows["root"].to_numpy()[:, None] == of[None, :])).sum(axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links), pa.array(found)], ["node", "links", "found"])
+
+    rows = nodes.join(roots, "node").select("label", "dim", "node", "v", "root")
+    got = {r[0]: (r[1], r[2]) for r in rows.mapInArrow(count, f"node {kind}, links long, found long").groupBy("node").agg(F.sum("links"), F.sum("found")).collect()}
+    share: dict = {}
+    for r in asked:
+        links, found = got.get(r["node"], (0, 0))
+        if links:
+            weight, held = totals[r["stratum"]] / taken[r["stratum"]], share.setdefault(links.bit_length(), [0.0, 0.0])
+            held[0] += weight * found / links
+            held[1] += weight
+    return min((a / b for a, b in share.values()), default=1.0)
 
 
 def embedding_dedup(rows: DataFrame, threshold: float = 0.98, k: int = 8, rounds: int = 2, most_rounds: int = 6, orders: int = 8, reach: int = 6, block: int = 1024, audit: int = 256, target_recall: float = 0.95, seed: int = 7, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -249,19 +324,23 @@ def embedding_dedup(rows: DataFrame, threshold: float = 0.98, k: int = 8, rounds
     null or non-finite components link with nothing: n_links 0, their own id as
     component. Vectors of different length do not link. A null id links with nothing and is kept.
     Equal vectors link at cosine 1 and are one node with a number of copies.
-    Links found are true; the search may miss some, which the audit measures.
+    Links found are true; the search may miss some, which the audit measures by
+    node and group size. Under ``target_recall`` the search is widened, with
+    twice the window each time and fresh orders, up to ``most_rounds`` -
+    ``rounds`` times; if that is not enough all pairs of a label are compared.
     Repeated rows count as vectors of their own; an empty table gives an empty table.
     """
     scratch = Scratch(rows.sparkSession, "embed")
     classes = scratch.save(valid_nodes(rows, id_col, vec_col, label_col))
     nodes = scratch.save(_unit(classes))
     roots = scratch.save(nodes.select("node", F.col("node").alias("root")))
-    lists = scratch.save(_lists(_seeded_edges(nodes, orders, reach, seed), k, roots, threshold))
+    orders, bits = _orders_for(nodes, threshold, orders, reach)
+    lists = scratch.save(_lists(_seeded_edges(nodes, orders, reach, seed, bits), k, roots, threshold))
     joined = _merged(lists, roots, threshold, scratch)
     roots = roots if joined is None else joined
-    done = 0
+    wider = 0
     while True:
-        least = done + (1 if done else rounds)
+        done = 0
         while True:
             fresh = scratch.save(_lists(_descend(nodes, lists, k).union(lists.where("kept").select("a", "b", "cos")), k, roots, threshold))
             scratch.drop(lists)
@@ -269,13 +348,25 @@ def embedding_dedup(rows: DataFrame, threshold: float = 0.98, k: int = 8, rounds
             joined = _merged(lists, roots, threshold, scratch)
             if joined is not None:
                 roots = joined
-            elif done >= least:
+            elif done >= (1 if wider else rounds):
                 break
-        sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        linked = scratch.save(roots.join(sizes, "root").select("node", "root"))
-        counts = scratch.save(_counts_in_groups(nodes, linked, threshold, block, scratch))
-        if done >= most_rounds or audit_recall(nodes, counts, threshold, audit) >= target_recall:
+        if audit_recall(nodes, roots, threshold, audit) >= target_recall:
+            break
+        if wider >= most_rounds - rounds:
+            exact = connected_components(_all_links(nodes, threshold, block), scratch)
+            kind = dict(nodes.dtypes)["node"]
+            roots = scratch.save(nodes.select("node").join(exact, "node", "left").select("node", F.coalesce("component", "node").cast(kind).alias("root")))
             break
+        wider += 1
+        more = _seeded_edges(nodes, orders, reach << wider, seed + 1_000_003 * wider, bits)
+        fresh = scratch.save(_lists(more.union(lists.where("kept").select("a", "b", "cos")), k, roots, threshold))
+        scratch.drop(lists)
+        lists = fresh
+        joined = _merged(lists, roots, threshold, scratch)
+        roots = roots if joined is None else joined
+    sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    linked = scratch.save(roots.join(sizes, "root").select("node", "root"))
+    counts = scratch.save(_counts_in_groups(nodes, linked, threshold, block))
     about = nodes.select("node", F.col("copies")).join(linked, "node", "left").join(counts, "node", "left")
     about = about.select("node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("component_id"))
     about = scratch.save(classes.select("label", "raw", "node").join(about, "node").drop("node"))

@@ -181,6 +181,26 @@ def test_embedding_links_between_dense_groups(spark):
     assert got == want
 
 
+def test_embedding_widens_and_ends_exactly_under_target(spark):
+    rng = np.random.default_rng(6)
+    rows, side = [], np.sqrt(1 - 0.982**2)
+    for i in range(300):
+        a, b = (x / np.linalg.norm(x) for x in rng.standard_normal((2, 64)))
+        b = b - (a @ b) * a
+        rows += [(2 * i, a.tolist(), 1), (2 * i + 1, (0.982 * a + side * b / np.linalg.norm(b)).tolist(), 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in V.embedding_dedup(df, orders=1, reach=1, k=2, rounds=1, most_rounds=2, target_recall=1.1).collect()}
+    assert got == {i: (1, i - i % 2) for i in range(600)}
+
+
+def test_embedding_audit_shows_lost_small_groups(spark):
+    vs = [[1.0, 0.0, 0.001 * i] for i in range(64)] + [[0.0, 1.0, 0.0], [0.0, 1.0, 0.1]]
+    nodes = V._unit(V.valid_nodes(spark.createDataFrame([(i, v, 1) for i, v in enumerate(vs)], "vec_id long, embedding array<double>, label int"), "vec_id", "embedding", "label"))
+    roots = spark.createDataFrame([(i, 0 if i < 64 else i) for i in range(66)], "node long, root long")
+    assert V.audit_recall(nodes, roots, 0.98, 256) == 0.0
+    assert V.audit_recall(nodes, roots.selectExpr("node", "if(node < 64, 0L, 64L) as root"), 0.98, 256) == 1.0
+
+
 @pytest.mark.parametrize("zipped", [True, False])
 def test_warc_round_trip(spark, zipped):
     inner = "WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.1\r\nWARC-Record-ID: <urn:x-page:99>\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
