@@ -62,6 +62,44 @@ RULES = (
     ("proprietary", ("rights",)),
 )
 
+# The same sentences as the licences' own texts have them, in full and with their variants.
+FULL_SENTENCES = (
+    ("apache.title", "apache license version 2 0 january 2004 http www apache org licenses"),
+    ("apache.short", "licensed under the apache license version 2 0 the license"),
+    ("apache.as_is", SENTENCES["apache.as_is"] + " without warranties or conditions of any kind either express or implied"),
+    ("mit.title2", "the mit license mit"),
+    ("mit.title", "mit license mit"),
+    ("mit.grant", SENTENCES["mit.grant"] + " including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
+    ("mit.notice", "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software"),
+    ("as_is", SENTENCES["as_is"] + " express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("gpl3.title", "gnu general public license version 3 29 june 2007"),
+    ("gpl2.title", "gnu general public license version 2 june 1991"),
+    ("gpl3.redistribute", SENTENCES["gpl.redistribute"] + " either version 3 of the license or at your option any later version"),
+    ("gpl2.redistribute", SENTENCES["gpl.redistribute"] + " either version 2 of the license or at your option any later version"),
+    ("gpl.terms", SENTENCES["gpl.redistribute"].removeprefix("this program is free software ")),
+    ("gpl2.either", "either version 2 of the license or at your option any later version"),
+    ("gpl3.either", "either version 3 of the license or at your option any later version"),
+    ("bsd.grant", SENTENCES["bsd.grant"] + " 1"),
+    ("mpl2.short", "this source code form is subject to the terms of the mozilla public license v"),
+)
+
+#: The holder's name stands in this sentence: (identifier, start, whole).
+NAMED = ("bsd.no_endorse", "neither the name of ", "^neither the names? of .+ nor the names of (its|any|the) contributors may be used to endorse or promote products derived from this software without specific prior written permission$")
+
+FULL_RULES = (
+    ("Apache-2.0", ("apache.title",)),
+    ("GPL-3.0", ("gpl3.title",)),
+    ("GPL-3.0", ("gpl3.redistribute",)),
+    ("GPL-3.0", ("gpl.terms", "gpl3.either")),
+    ("GPL-2.0", ("gpl2.title",)),
+    ("GPL-2.0", ("gpl2.redistribute",)),
+    ("GPL-2.0", ("gpl.terms", "gpl2.either")),
+    ("GPL", ("gpl.terms",)),
+)
+
+#: A sentence that is wrapped goes on over a line end: it ends at one of . ! ? ; or at a line without letters and digits.
+WRAPPED_END = r"(?:\r\n|\r(?!\n)|\n)[^\p{L}\p{N}\r\n]*[\r\n]|[.!?;]+(?=\s|$)"
+
 #: A sentence ends at a line end, or at one of . ! ? ; before white space or the end.
 SENTENCE_END = r"[\r\n]+|[.!?;]+(?=\s|$)"
 
@@ -71,22 +109,38 @@ def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
 
 
-def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] | None = None, rules: tuple = RULES) -> DataFrame:
+def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] | None = None, rules: tuple = RULES + FULL_RULES) -> DataFrame:
     """(id_col, sentence_ids, n_sentences, licenses, n_licenses), one row for each row of ``docs``.
 
     ``sentence_ids`` are the known sentences found, in order, joined by blanks;
     ``licenses`` the licences whose rule fits, in rule order without repeats, joined by ``|``.
+    A known sentence may be wrapped over lines, with comment signs before them,
+    and follow lines that end without a stop, such as a title or a holder.
     ``n_sentences`` counts those of the text that are not blank.
     Null and empty texts give empty strings and 0. Whole texts are read in one
     narrow pass: no shuffle, so no key can be hot. Repeated rows each keep their
     row; an empty table gives an empty table; extra columns do not matter.
     """
-    known = SENTENCES if sentences is None else sentences
-    table = F.create_map(*[F.lit(x) for ident, text in known.items() for x in (text, ident)])
+    known = [*SENTENCES.items(), *FULL_SENTENCES] if sentences is None else list(sentences.items())
+    table = F.create_map(*[F.lit(x) for ident, text in known for x in (text, ident)])
+    most = max((len(text.split()) for _, text in known), default=1)  # a line has a word at least, so no known sentence has more lines
     parts = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), SENTENCE_END), lambda s: F.trim(s) != "")
-    rows = docs.select(F.col(id_col), parts.alias("parts"))
-    ids = F.filter(F.transform("parts", lambda s: F.try_element_at(table, normalised(s))), lambda x: x.isNotNull())
-    rows = rows.select(id_col, F.size("parts").cast("long").alias("n_sentences"), ids.alias("ids"))
+
+    def ident(s: Column) -> Column:
+        got = F.try_element_at(table, s)
+        return F.coalesce(got, F.when(F.startswith(s, F.lit(NAMED[1])) & F.rlike(s, F.lit(NAMED[2])), F.lit(NAMED[0]))) if sentences is None else got
+
+    def of_lines(lines: Column) -> Column:
+        """The longest known end of the lines, after what is known of the lines before it."""
+        n = F.size(lines)
+        ends = F.transform(F.sequence(F.greatest(n - (most - 1), F.lit(1)), n), lambda at: F.struct(at.alias("at"), ident(F.array_join(F.slice(lines, at, n), " ")).alias("id")))
+        ends = F.filter(ends, lambda e: e["id"].isNotNull())
+        split = F.transform(F.array(F.coalesce(F.get(ends, F.lit(0)), F.struct((n + 1).alias("at"), F.lit(None).cast("string").alias("id")))), lambda e: F.concat(F.transform(F.slice(lines, 1, e["at"] - 1), ident), F.array(e["id"])))
+        return F.when(n == 1, F.array(ident(lines[0]))).otherwise(F.flatten(split))
+
+    wrapped = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), WRAPPED_END), lambda s: F.filter(F.transform(F.split(s, r"[\r\n]+"), normalised), lambda x: x != ""))
+    ids = F.filter(F.flatten(F.transform(F.filter(wrapped, lambda x: F.size(x) > 0), of_lines)), lambda x: x.isNotNull())
+    rows = docs.select(F.col(id_col), F.size(parts).cast("long").alias("n_sentences"), ids.alias("ids"))
     rows = rows.select(id_col, "n_sentences", F.array_join("ids", " ").alias("sentence_ids"))
     padded = F.concat(F.lit(" "), F.col("sentence_ids"), F.lit(" "))
     escape = lambda s: s.replace(".", "\\.")

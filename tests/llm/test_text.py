@@ -112,3 +112,65 @@ def test_license_rules_in_order(spark):
     assert [by[i]["licenses"] for i in (3, 4, 5)] == ["", "", ""] and by[3]["n_sentences"] == 0
     assert got[6, 50_001]["licenses"] == "MIT" and got[6, 2]["licenses"] == "CC-BY-NC-4.0|proprietary"
     assert N.license_scan(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+MIT_TEXT = """The MIT License (MIT)
+
+Copyright (c) 2020 Some Holder
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE.
+"""
+APACHE_TEXT = """/*
+ * Copyright 2020 Some Holder
+ *
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ *
+ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS,
+ * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+ */
+"""
+BSD_TEXT = """Copyright (c) 2020, Some Holder
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice.
+3. Neither the name of Some Holder, Inc nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL3_TEXT = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+"""
+GPL2_TEXT = """This program is free software; you can redistribute it and/or
+modify it under the terms of the GNU General Public License
+as published by the Free Software Foundation; either version 2
+of the License, or (at your option) any later version.
+"""
+
+
+def test_license_wrapped_and_abridged_texts(spark):
+    texts = [MIT_TEXT, APACHE_TEXT, BSD_TEXT, GPL3_TEXT, GPL2_TEXT]
+    texts += [t.replace("\n", "\r\n") for t in texts] + ["a line without a stop\n" * 300 + "All rights reserved"]
+    got = {r["doc_id"]: r for r in N.license_scan(spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], SCHEMA)).collect()}
+    assert [got[i]["licenses"] for i in range(11)] == ["MIT", "Apache-2.0", "BSD-3-Clause|BSD-2-Clause", "GPL-3.0", "GPL-2.0|GPL"] * 2 + ["proprietary"]
+    assert got[0]["sentence_ids"] == "mit.title2 mit.grant mit.notice as_is" and got[1]["sentence_ids"] == "apache.short apache.may_not apache.as_is"
+    assert got[2]["sentence_ids"] == "bsd.grant bsd.no_endorse" and got[10]["n_sentences"] == 301
