@@ -126,7 +126,7 @@ def population_table(config: list[dict], spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([tuple(c.get(k) for k in keys) for c in config], "population_id string, units long, rows long, start string, end string, rule string")
 
 
-def spatial_bundle(values: DataFrame, edges: DataFrame, unit: str, value: str, permutations: int = 999, seed: int = 20260822) -> DataFrame:
+def spatial_bundle(values: DataFrame, edges: DataFrame, unit: str, value: str, permutations: int = 9999, seed: int = 20260822) -> DataFrame:
     """One national row and one row a unit: statistics, p, q and class."""
     spark = values.sparkSession
     g = S.moran_permutation(values, edges, unit, value, permutations, seed)

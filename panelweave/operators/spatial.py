@@ -71,7 +71,7 @@ def moran_permutation(values: DataFrame, edges: DataFrame, unit: str, value: str
     return {"moran_i": float(i0), "p": float((1 + hit) / (1 + permutations)), "status": "ok"}
 
 
-def local_moran_permutation(values: DataFrame, edges: DataFrame, unit: str, value: str, permutations: int = 999, seed: int = 20260822, alpha: float = 0.05) -> DataFrame:
+def local_moran_permutation(values: DataFrame, edges: DataFrame, unit: str, value: str, permutations: int = 9999, seed: int = 20260822, alpha: float = 0.05) -> DataFrame:
     """Adds raw_p, bh_q and class to the local statistic.
 
     Neighbours are drawn without replacement from the others; p is that of the
@@ -95,9 +95,11 @@ def local_moran_permutation(values: DataFrame, edges: DataFrame, unit: str, valu
                 rng = np.random.Generator(np.random.PCG64([seed, int(r._2)]))
                 others = np.delete(zs, int(r._2))
                 k = int(r.degree)
-                draws = np.argpartition(rng.random((permutations, len(others))), k - 1, axis=1)[:, :k]
-                sim = r.z * others[draws].mean(axis=1)
-                above = int((sim >= r.local_i).sum())
+                above, left, most = 0, permutations, 1 + 2_000_000 // len(others)  # at a time, so that memory is bounded; the stream is the same
+                while left:
+                    draws = np.argpartition(rng.random((min(left, most), len(others))), k - 1, axis=1)[:, :k]
+                    above += int((r.z * others[draws].mean(axis=1) >= r.local_i).sum())
+                    left -= min(left, most)
                 p.append((1 + min(above, permutations - above)) / (1 + permutations))
             yield pd.DataFrame({"u": b["u"], "raw_p": pd.Series(p, dtype="float64", index=b.index)})
 

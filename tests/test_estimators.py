@@ -78,6 +78,13 @@ def test_moran_path(spark):
     assert p[4]["class"] == "island" and all(0 < r["raw_p"] <= 0.505 for r in p[:4])
 
 
+def test_local_moran_draws_as_many_as_the_contract(spark):
+    v = spark.createDataFrame([(i, 5.0 + 0.01 * i if i < 9 else 0.01 * i) for i in range(30)], "unit long, x double")
+    e = spark.createDataFrame([(i, j) for i in range(9) for j in range(9) if i != j], "i long, j long")
+    p = [r["raw_p"] for r in S.local_moran_permutation(v, e, "unit", "x").where("raw_p is not null").collect()]
+    assert len(p) == 9 and max(p) < 0.001 and all(abs(x * 10_000 - round(x * 10_000)) < 1e-6 for x in p)
+
+
 def test_firth_on_separated_data(spark):
     rng = np.random.default_rng(0)
     x = rng.standard_normal(120)
