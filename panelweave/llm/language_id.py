@@ -4,21 +4,31 @@ A word seen in training scores by its log frequency in each language. A word
 never seen is covered from its start by the longest known n-gram at each place,
 from ``longest`` letters down to one; a letter never seen adds nothing. A text's
 score for a language is the sum over its words, weighted by how often they occur.
+
+A letter is what Unicode puts in the categories L; words are runs of letters. A
+run of over ``WORD`` letters, as scripts without blanks have them, is no word
+but teaches and scores by its n-grams, all of them.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNDETERMINED = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
+#: The most letters of a run that counts as a word.
+WORD = 40
 SPLIT = r"[^\p{L}]+"
+#: Runs of letters, and of the numerals other than decimal digits, which Python counts among them.
+LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def held_out(id_col: Column, folds: int = 5) -> Column:
@@ -26,94 +36,129 @@ def held_out(id_col: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % folds == 0, F.lit(False))
 
 
-def train(docs: DataFrame, docs_per_lang: int = 3000, top_words: int = 40_000, top_grams: int = 40_000, longest: int = 4, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> dict:
-    """A model from the labelled rows of ``docs``; None if there is none.
+def runs_of(text: str) -> Counter:
+    """The runs of letters of a text in lower case, with their numbers."""
+    found = Counter(LETTERS.findall(text.lower()))
+    for mixed in [w for w in found if not w.isalpha()]:  # with numerals, such as the sign of a half
+        n = found.pop(mixed)
+        for w in "".join(c if c.isalpha() else " " for c in mixed).split():
+            found[w] += n
+    return found
+
+
+def _gram_counts(runs: DataFrame, longest: int) -> DataFrame:
+    """(g, lang, n) of all n-grams of up to ``longest`` letters of (lang, w, n): prefixes of the windows that begin at each letter."""
+    windows = F.regexp_extract_all("w", F.lit(rf"(?=(\p{{L}}{{1,{longest}}}))\p{{L}}"), F.lit(1))
+    windows = runs.select("lang", "n", F.explode(windows).alias("window")).groupBy("lang", "window").agg(F.sum("n").alias("n"))
+    prefixes = F.array_distinct(F.array(*[F.substring("window", 1, k) for k in range(1, longest + 1)]))
+    return windows.select("lang", "n", F.explode(prefixes).alias("g")).groupBy("g", "lang").agg(F.sum("n").alias("n"))
+
 
-    Bounds, so that the model's size does not grow with the input: about
-    ``docs_per_lang`` documents of a language (by a hash of the id, all where there are
-    fewer), the ``top_words`` commonest words and ``top_grams`` commonest
-    n-grams of a language.
+def train(docs: DataFrame, docs_per_lang: int = 3000, longest: int = 4, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> dict:
+    """A model from the labelled rows of ``docs``; without languages if there is none.
+
+    About ``docs_per_lang`` documents of a language are learned from (by a hash
+    of id and text; all where there are fewer), which bounds the model
+    whatever the input. Of these documents all words and n-grams count.
     """
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes:
-        return {"langs": [], "words": {}, "grams": {}, "longest": longest}
+    langs = sorted(sizes)
+    model = {"langs": langs, "longest": longest, "words": {}, "grams": {}, "starts": array("L", [0]), "lang": array("H"), "gain": array("d"), "base": ([0.0] * len(langs), [0.0] * len(langs))}
+    if not langs:
+        return model
     ring = 1 << 20
-    some = F.lit(False)
-    for lang, n in sizes.items():
-        some = some | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("id"), F.lit(ring)) < int(ring * min(1.0, docs_per_lang / n))))
-    words = labelled.where(some).select("lang", F.explode(F.split(F.lower("text"), SPLIT)).alias("w")).where("w <> ''").groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda k: F.when(F.length("w") >= k, F.transform(F.sequence(F.lit(1), F.length("w") - k + 1), lambda i: F.substring(F.col("w"), i, k))).otherwise(F.array())))
-    common = words.where(F.length("w") <= 40)
-    common.persist()
+    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(ring * min(1.0, docs_per_lang / n)))])
+    some = labelled.where(F.pmod(F.xxhash64("id", "text"), F.lit(ring)) < F.element_at(share, F.col("lang")))
+    runs = some.select("lang", F.explode(F.split(F.lower("text"), SPLIT)).alias("w")).where("w <> ''").groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n")).persist()
     try:
-        counted_grams = common.select("lang", "n", F.explode(grams).alias("g")).groupBy("lang", "g").agg(F.sum("n").alias("n"))
-        langs = sorted(sizes)
-        word_counts = {k: dict(_top(common, "w", k, top_words)) for k in langs}
-        gram_counts = {k: dict(_top(counted_grams, "g", k, top_grams)) for k in langs}
+        words = runs.where(F.length("w") <= WORD).select("w", "lang", "n").toPandas()
+        grams = _gram_counts(runs, longest).toPandas()
     finally:
-        common.unpersist()
-    return {"langs": langs, "words": _log_tables(word_counts, langs), "grams": _log_tables(gram_counts, langs), "longest": longest}
-
+        runs.unpersist()
+    model["base"] = (_enter(model, "words", words), _enter(model, "grams", grams))
+    return model
 
-def _top(table: DataFrame, key: str, lang: str, n: int):
-    return [(r[0], r[1]) for r in table.where(F.col("lang") == lang).select(key, "n").orderBy(F.desc("n"), key).limit(n).collect()]
 
+def _enter(model: dict, kind: str, counted) -> list[float]:
+    """Adds the entries of (entry, lang, n) to the model; returns the log frequency in each language of an entry it never has.
 
-def _log_tables(counts: dict[str, dict[str, int]], langs: list[str]) -> dict[str, tuple[float, ...]]:
-    """Log frequency of each entry in each language, add-half smoothed."""
-    entries = set().union(*counts.values())
-    totals = [sum(counts[k].values()) + 0.5 * len(entries) + 0.5 for k in langs]
-    return {e: tuple(math.log((counts[k].get(e, 0) + 0.5) / t) for k, t in zip(langs, totals, strict=True)) for e in entries}
+    Frequencies are smoothed by one half. Only languages that have an entry are
+    kept with it: what its log frequency is above that of one never seen.
+    """
+    entries, place = model[kind], {lang: i for i, lang in enumerate(model["langs"])}
+    counted.columns = ["entry", "lang", "n"]
+    for entry, lang, n in counted.sort_values(["entry", "lang"]).itertuples(index=False):
+        if entry not in entries:
+            entries[entry] = len(model["starts"]) - 1
+            model["starts"].append(model["starts"][-1])
+        model["lang"].append(place[lang])
+        model["gain"].append(math.log((n + 0.5) / 0.5))
+        model["starts"][-1] += 1
+    totals = counted.groupby("lang")["n"].sum().to_dict()
+    return [math.log(0.5 / (totals.get(lang, 0) + 0.5 * len(entries) + 0.5)) for lang in model["langs"]]
 
 
 class Scorer:
-    """Scores texts by a model; keeps the scores of ``keep`` unseen words at most."""
+    """Scores texts by a model; keeps what covers ``keep`` unseen words at most, none of over WORD letters."""
 
     def __init__(self, model: dict, keep: int = 60_000):
         self.langs, self.words, self.grams, self.longest, self.keep = model["langs"], model["words"], model["grams"], model["longest"], keep
-        self.unseen: dict[str, tuple[float, ...] | None] = {}
+        self.starts, self.lang, self.gain = (np.array(model[k], kind) for k, kind in (("starts", np.int64), ("lang", np.int64), ("gain", np.float64)))
+        self.base = np.array(model["base"])
+        self.unseen: dict[str, tuple[int, ...]] = {}
 
-    def backed_off(self, word: str) -> tuple[float, ...] | None:
-        total, i, n = None, 0, len(word)
+    def backed_off(self, word: str) -> tuple[int, ...]:
+        """The n-grams that cover a word."""
+        out, i, n, get = [], 0, len(word), self.grams.get
         while i < n:
             for k in range(min(self.longest, n - i), 0, -1):
-                got = self.grams.get(word[i : i + k])
+                got = get(word[i : i + k])
                 if got is not None:
-                    total = got if total is None else tuple(map(float.__add__, total, got))
+                    out.append(got)
                     i += k
                     break
             else:
                 i += 1
-        return total
+        return tuple(out)
 
-    def sums(self, text: str) -> list[float] | None:
+    def sums(self, text: str) -> np.ndarray | None:
         """One sum for each language, None if the text has no letter."""
-        found = Counter(LETTERS.findall(text.lower()))
+        found = runs_of(text)
         if not found:
             return None
-        out, words, unseen = [0.0] * len(self.langs), self.words, self.unseen
-        for word, n in found.items():
-            got = words.get(word)
-            if got is None:
-                if word in unseen:
-                    got = unseen[word]
-                else:
-                    if len(unseen) > self.keep:
-                        unseen.clear()
-                    got = unseen[word] = self.backed_off(word)
-            if got is not None:
-                for j, x in enumerate(got):
-                    out[j] += n * x
-        return out
+        words, unseen = self.words.get, self.unseen
+        known = list(map(words, found))
+        entries = [e for e in known if e is not None]
+        times = [n for e, n in zip(known, found.values(), strict=True) if e is not None]
+        n_words = sum(times)
+        if len(entries) < len(found):
+            for word, e in zip(found, known, strict=True):
+                if e is None:
+                    got = unseen.get(word)
+                    if got is None:
+                        got = self.backed_off(word)
+                        if len(word) <= WORD:
+                            if len(unseen) >= self.keep:
+                                unseen.clear()
+                            unseen[word] = got
+                    entries += got
+                    times += [found[word]] * len(got)
+        ids, n = np.array(entries, np.int64), np.array(times, np.float64)
+        first = self.starts[ids]
+        sizes = self.starts[ids + 1] - first
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + sizes, sizes)
+        seen = np.bincount(self.lang[at], weights=self.gain[at] * np.repeat(n, sizes), minlength=len(self.langs))
+        return seen + n_words * self.base[0] + (n.sum() - n_words) * self.base[1]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, share of the posterior); undetermined with 0 for null or no letter. Ties go to the first by name."""
         sums = self.sums(text) if text and self.langs else None
         if sums is None:
             return UNDETERMINED, 0.0
-        top = max(sums)
-        return self.langs[sums.index(top)], 1.0 / sum(math.exp(max(s - top, -700.0)) for s in sums)
+        top = int(sums.argmax())
+        return self.langs[top], float(1.0 / np.exp(np.maximum(sums - sums[top], -700.0)).sum())
 
 
 def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -121,7 +166,8 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
 
     ``und`` with score 0 where the text is null, has no letter, or there was
     nothing to learn from. A null id is never held out. Whole texts are read, and
-    nothing but the text decides. An empty table gives an empty table.
+    nothing but the text decides. Repeated rows each keep their row; extra
+    columns do not matter. An empty table gives an empty table.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by train()'s parameters
 
@@ -141,19 +187,25 @@ def identify_documents(docs: DataFrame) -> DataFrame:
     return identify(docs, train(docs.where(~held_out(F.col("doc_id")))))
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with their columns, whose language can be told: those with a letter in their text.
+def keep_identified(docs: DataFrame, languages: tuple[str, ...] | None = None, min_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with their columns, whose language is told with a score of ``min_score`` at least, and is one of ``languages`` if given.
 
-    The language predicted does not drop a document; ``und`` does.
+    Learns from the labelled documents that are not held out. Null texts and
+    those without a letter go, as do texts between languages. Where no document
+    is labelled there is nothing to tell languages by: those with a letter stay.
+    Repeated rows stay or go together; an empty table gives an empty table. Only
+    the text goes to Python.
     """
     model = train(docs.where(~held_out(F.col(id_col))))
+    if not model["langs"]:
+        return docs.where(F.col(text_col).rlike(r"\p{L}"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    where = docs.columns.index(text_col)
 
-    def run(batches):
+    @F.arrow_udf("boolean")
+    def kept(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(shared.value)
-        for batch in batches:
-            keep = pa.array([scorer.predict(t.as_py())[0] != UNDETERMINED for t in batch.column(where)], pa.bool_())
-            yield batch.filter(keep)
+        for texts in batches:
+            found = [scorer.predict(t.as_py()) for t in texts]
+            yield pa.array([score >= min_score and (languages is None or lang in languages) for lang, score in found], pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(kept(F.col(text_col)))

@@ -1,8 +1,12 @@
 import hashlib
 import math
 import random
+import zlib
+from collections import Counter
 
 import public_tokenizers as P
+import pytest
+import regex as re
 from tokenizers import Tokenizer
 
 from panelweave.llm import language_id as L
@@ -89,17 +93,67 @@ def test_language_edges(spark):
     assert got[903]["lang_pred"] in ("en", "fr")
     empty = spark.createDataFrame([], SCHEMA)
     assert L.identify_documents(empty).count() == 0
-    assert L.keep_identified(spark.createDataFrame(data, SCHEMA)).count() == 82
+    kept = L.keep_identified(spark.createDataFrame(data, SCHEMA))
+    assert kept.count() == 82 and kept.columns == spark.createDataFrame(data, SCHEMA).columns
+    assert L.keep_identified(spark.createDataFrame(data, SCHEMA), languages=("fr",)).count() in (40, 41)
     unlabelled = spark.createDataFrame([(1, "abc", None, None, 1)], SCHEMA)
     assert L.identify_documents(unlabelled).first()["lang_pred"] == "und"
 
 
-def test_language_backs_off_to_shorter_grams():
-    model = {"langs": ["a", "b"], "words": {"known": (-1.0, -2.0)}, "grams": {"xyz": (-1.0, -9.0), "x": (-9.0, -1.0)}, "longest": 3}
-    s = L.Scorer(model)
-    assert s.sums("known") == [-1.0, -2.0]
-    assert s.sums("xyzx") == [-10.0, -10.0]
-    assert s.sums("qq") == [0.0, 0.0] and s.sums("..") is None
+def brute_language(docs):
+    """(lang_pred, score) of each text, by plain counting over all labelled documents that are not held out."""
+    runs = lambda t: re.findall(r"\p{L}+", t.lower())
+    words, grams = {}, {}
+    for i, t, lang, *_ in docs:
+        if lang is None or t is None or zlib.crc32(str(i).encode()) % 5 == 0:
+            continue
+        for w in runs(t):
+            if len(w) <= 40:
+                words.setdefault(lang, Counter())[w] += 1
+            grams.setdefault(lang, Counter()).update(w[i : i + k] for i in range(len(w)) for k in range(1, 5) if i + k <= len(w))
+    langs = sorted(grams)
+    logs = []
+    for table in (words, grams):
+        entries = set().union(*[table.get(k, {}) for k in langs])
+        total = {k: sum(table.get(k, {}).values()) + 0.5 * len(entries) + 0.5 for k in langs}
+        logs.append({e: [math.log((table.get(k, {}).get(e, 0) + 0.5) / total[k]) for k in langs] for e in entries})
+    out = []
+    for _, t, *_ in docs:
+        sums = [0.0] * len(langs)
+        for w in runs(t or ""):
+            cover = [logs[0][w]] if w in logs[0] else []
+            i = 0
+            while not (w in logs[0]) and i < len(w):
+                k = next((k for k in (4, 3, 2, 1) if i + k <= len(w) and w[i : i + k] in logs[1]), 0)
+                cover += [logs[1][w[i : i + k]]] if k else []
+                i += k or 1
+            for x in cover:
+                sums = [a + b for a, b in zip(sums, x, strict=True)]
+        best = max(range(len(langs)), key=lambda j: sums[j])
+        out.append((langs[best], 1 / sum(math.exp(max(s - sums[best], -700)) for s in sums)) if runs(t or "") else ("und", 0.0))
+    return out
+
+
+def test_language_against_brute_force(spark):
+    rng = random.Random(4)
+    some = {"en": "the cat and dog house running over there", "fr": "le chat et chien maison où ça élève", "zh": "猫和狗在房子里跑了很远的路今天天气很好", "ja": "猫と犬は家の中を走っていますきょうはいい天気"}
+    data = []
+    for lang in ("en", "fr"):
+        data += [(len(data) + i, " ".join("".join(rng.sample(w, len(w))) if rng.random() < 0.3 else w for w in rng.choices(some[lang].split(), k=9)) + " ½ Ⅷ x2y", lang, "s", 0) for i in range(40)]
+    for lang in ("zh", "ja"):  # runs of 60 letters and more, which are no words
+        data += [(len(data) + i, "".join(rng.choices(some[lang], k=rng.randrange(60, 200))) + " 12", lang, None, None) for i in range(40)]
+    data += [(900 + i, t, None, "s", 0) for i, t in enumerate(["½ ² 12", "Ⅷ", None, "", "zzzz qqq", "İstanbul ÇA ÉLÈVE", "猫" * 30_000, "the " * 20_000, "½the²cat"])]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in L.identify_documents(spark.createDataFrame(data, SCHEMA)).collect()}
+    for (i, text, *_), (lang, score) in zip(data, brute_language(data), strict=True):
+        assert got[i][0] == lang or abs(score - got[i][1]) < 1e-9, text
+        assert got[i][1] == pytest.approx(score, abs=1e-9)
+    assert [got[900 + i] for i in range(4)] == [("und", 0.0)] * 4
+    assert all(got[i][0] == lang for i, _, lang, *_ in data if lang in ("zh", "ja"))
+
+
+def test_language_stage_keeps_lettered_documents_without_labels(spark):
+    data = [(i, "abc def", None, None, 1) for i in range(5)] + [(7, "12", None, None, 1), (8, None, None, None, 1)]
+    assert L.keep_identified(spark.createDataFrame(data, SCHEMA)).count() == 5
 
 
 def test_license_rules_in_order(spark):
