@@ -107,11 +107,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that exact dedup keeps, with their columns, one row for each group of equal texts."""
-    found = exact_dedup(docs.select(id_col, text_col), id_col, text_col)
-    kept = found.where("kept").select(F.col(id_col).alias("_keep_id"), F.col("text_sha256").alias("_keep_sha"))
-    marked = docs.withColumn("_text_sha", F.sha2(ascii_lower(F.col(text_col)).cast("binary"), 256))
-    rows = marked.join(kept, (marked["_text_sha"] == kept["_keep_sha"]) & marked[id_col].eqNullSafe(kept["_keep_id"]), "left_semi")
-    if not found.where(~F.col("kept") & F.col(id_col).eqNullSafe(F.col("keep_id"))).isEmpty():
-        rows = rows.dropDuplicates(["_text_sha"])  # rows equal in id and text
-    return rows.drop("_text_sha")
+    """The rows of ``docs`` that exact dedup keeps, with their columns: one row for each group of equal texts, that of the largest id.
+
+    A null text counts as empty, a null id stays only where its group holds no
+    other; of rows equal in id and text one stays. An empty table gives an empty
+    table; any further columns, whatever their names, stay as they are.
+    """
+    found = exact_dedup(docs.select(id_col, text_col), id_col, text_col).select(F.col(id_col).alias("id"), "keep_id", "kept", F.col("text_sha256").alias("sha"))
+    sha = F.sha2(ascii_lower(F.col(text_col)).cast("binary"), 256)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).alias("id"), sha.alias("sha"))
+    rows = rows.alias("r").join(found.where("kept").alias("f"), (F.col("r.sha") == F.col("f.sha")) & F.col("r.id").eqNullSafe(F.col("f.id")), "left_semi")
+    if not found.where(~F.col("kept") & F.col("id").eqNullSafe(F.col("keep_id"))).isEmpty():
+        rows = rows.dropDuplicates(["sha"])  # rows equal in id and text
+    return rows.select("doc.*")

@@ -88,8 +88,9 @@ def components_of(fps, limit=4):
     return [find(i) for i in range(len(fps))]
 
 
-@pytest.mark.parametrize("block", [7, 2048])
-def test_near_links_keep_every_component(spark, block):
+@pytest.mark.parametrize(("block", "bits", "cells"), [(7, 4, S.CELLS), (8192, 4, 64), (9, 10, 64), (8192, 1, S.CELLS)])
+def test_near_links_keep_every_component(spark, monkeypatch, block, bits, cells):
+    monkeypatch.setattr(S, "CELLS", cells)
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**63, 40, dtype=np.uint64)
     fps = [0, 2**64 - 1, 2**63, *map(int, base)]
@@ -103,10 +104,10 @@ def test_near_links_keep_every_component(spark, block):
             x = y if rng.random() < 0.5 else x
     fps = np.unique(np.array(fps, np.uint64))
     scratch = Scratch(spark, "test")
-    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
-    links = [tuple(r) for r in S.near_links(df, scratch, block).collect()]
+    df = scratch.save(spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "f0 long"))
+    links = [tuple(r) for r in S.near_links(df, S.Scheme(4, bits), "f0", block).collect()]
     signed = {int(v): k for k, v in enumerate(fps.view(np.int64))}
-    assert all(bin(int(fps[signed[a]] ^ fps[signed[b]])).count("1") <= 4 for a, b in links)
+    assert all(bin(int(fps[signed[a]] ^ fps[signed[b]])).count("1") <= bits for a, b in links)
     p = list(range(len(fps)))
 
     def find(x):
@@ -116,7 +117,7 @@ def test_near_links_keep_every_component(spark, block):
 
     for a, b in links:
         p[find(signed[a])] = find(signed[b])
-    mine, true = [find(i) for i in range(len(fps))], components_of(fps)
+    mine, true = [find(i) for i in range(len(fps))], components_of(fps, bits)
     assert len(set(zip(mine, true, strict=True))) == len(set(true)) == len(set(mine))
 
 
@@ -128,8 +129,63 @@ def test_simhash_dedup_edges(spark):
     assert len(got) == 7 and all(c == want[d] for d, _, c in got if d in want)
     assert all(f == f"{brute_fingerprint(dict((r[0], r[1]) for r in df.collect())[d]):016x}" for d, f, _ in got)
     assert S.simhash_dedup(df.where("doc_id = 99")).count() == 0
-    kept = S.keep_representatives(df.dropDuplicates(["doc_id"]))
-    assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] != 9) == [2, 3, 7]
+    assert sorted(r["doc_id"] for r in S.keep_representatives(df).collect()) == [2, 3, 7]
+    assert S.keep_representatives(df.where("doc_id = 99")).count() == 0
+
+
+def test_simhash_stage_on_repeats_nulls_and_clashing_names(spark):
+    long = "word" + " w%d" * 5000 % tuple(range(5000))
+    schema = "doc_id long, text string, f0 string, k string, doc string, h long, n int, _keep long"
+    data = [(1, "a b c d e f g", "x", "k", "d", 1, 2, 3)] * 3 + [(1, "quite another text that no other is like", "x", None, "d", 1, 2, 3), (None, long, "y", "k", "d", 1, 2, 3), (None, None, "z", "k", "d", 1, 2, 3), (4, " ", "z", "k", "d", 1, 2, 3)]
+    df = spark.createDataFrame(data, schema)
+    got = S.keep_representatives(df)
+    assert got.columns == df.columns
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [data[0], data[3], data[4], data[6]]))
+
+
+def brute_similar(texts, limit, bits):
+    """Groups of texts by the fingerprints of four words over the distinct shingles of five words."""
+    scheme = S.Scheme.similar(0.8)
+    out = []
+    for t in texts:
+        w = t.lower().split()
+        grams = {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+        hs = np.array([xxhash.xxh64_intdigest(g.encode(), 42) for g in grams], np.uint64)
+        words = [hs, *[S._mixed(hs, k) for k in range(1, scheme.words)]]
+        out.append([sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in x) > len(x)) for x in words])
+    assert out == [S.fingerprint_words(t, scheme) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            d = [(a ^ b).bit_count() for a, b in zip(out[i], out[j], strict=True)]
+            if d[0] <= bits and sum(d) <= limit:
+                old, new = label[i], label[j]
+                label = [new if x == old else x for x in label]
+    return label
+
+
+def test_simhash_stage_against_brute_force_and_similarity(spark):
+    rng = random.Random(11)
+    texts, of = [], []
+    for g in range(25):
+        base = [f"w{rng.randrange(4000)}" for _ in range(rng.randrange(60, 260))]
+        texts.append(" ".join(base))
+        of.append(g)
+        for _ in range(6):
+            other = list(base)
+            for _ in range(rng.randrange(0, 5)):
+                other[rng.randrange(len(other))] = f"n{rng.randrange(9999)}"
+            texts.append(" ".join(other))
+            of.append(g)
+    scheme = S.Scheme.similar(0.8)
+    label = brute_similar(texts, scheme.total, scheme.bits)
+    docs = spark.createDataFrame([(i, t, "", 0) for i, t in enumerate(texts)], DOCS)
+    kept = {r["doc_id"] for r in S.keep_representatives(docs).collect()}
+    assert kept == {min(i for i, x in enumerate(label) if x == y) for y in set(label)}
+    grams = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    near = [label[i] == label[j] for i in range(len(texts)) for j in range(i) if len(grams[i] & grams[j]) >= 0.9 * len(grams[i] | grams[j])]
+    assert len(near) > 50 and sum(near) / len(near) > 0.9
+    assert all(of[i] == of[j] for i in range(len(texts)) for j in range(i) if label[i] == label[j])
 
 
 def test_components_random_and_hub(spark):
