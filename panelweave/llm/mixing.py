@@ -55,6 +55,13 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_
     return rows.withColumn("target", F.when(share.isNull(), F.col("cap")).otherwise(F.least("cap", F.col("weight") * share))).select("source", "source_size", "weight", "target")
 
 
+def golden_point(slot: Column) -> Column:
+    """slot * GOLDEN modulo 2**32, in two halves of 16 bits so that no product passes 2**49."""
+    low = F.pmod(slot, F.lit(RING))
+    high = F.pmod(F.shiftright(low, 16) * GOLDEN, F.lit(1 << 16))
+    return F.pmod(high * (1 << 16) + F.pmod(low, F.lit(1 << 16)) * GOLDEN, F.lit(RING))
+
+
 def schedule(shares: DataFrame, slots: int) -> DataFrame:
     """(source, slot, rank) of ``slots`` slots over (source, target): rank counts from 0 within a source in slot order.
 
@@ -68,7 +75,7 @@ def schedule(shares: DataFrame, slots: int) -> DataFrame:
     spans = shares.where("target > 0").withColumn("_hi", edge).withColumn("_lo", F.coalesce(F.lag("_hi").over(Window.orderBy(F.col("source").asc_nulls_last())), F.lit(0).cast("long")))
     width = RING // CELLS
     spans = spans.where("_lo < _hi").select("source", "_lo", "_hi", F.explode(F.sequence(F.floor(F.col("_lo") / width), F.floor((F.col("_hi") - 1) / width))).alias("cell"))
-    points = spark.range(slots).select(F.col("id").alias("slot"), F.pmod(F.pmod(F.col("id"), F.lit(RING)) * GOLDEN, F.lit(RING)).alias("u")).withColumn("cell", F.floor(F.col("u") / width))
+    points = spark.range(slots).select(F.col("id").alias("slot"), golden_point(F.col("id")).alias("u")).withColumn("cell", F.floor(F.col("u") / width))
     drawn = points.join(spans, "cell").where("u >= _lo and u < _hi").select("source", "slot")
     chunk = F.floor(F.col("slot") / CELLS)
     return running_sums(drawn, ["source"], F.floor(chunk / 1024), chunk, [F.col("slot")], F.lit(1), "rank")
@@ -89,8 +96,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epoch
     sized = scratch.save(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), at.alias("at")))
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     shares = scratch.save(targets(sizes, weights, max_epochs))
-    total, words = shares.agg(F.sum("target"), F.sum("source_size")).first()
-    slots = int(round((total or 0.0) / block_words))
+    # a source's last block may be short: slots are shared by the blocks that the target takes, not by its words
+    blocks = F.ceil(F.col("source_size") / block_words)
+    by_blocks = shares.where("source_size > 0").select("source", (F.col("target") * blocks / F.col("source_size")).alias("target"))
+    slots = int(round(by_blocks.agg(F.sum("target")).first()[0] or 0.0))
 
     high = F.shiftrightunsigned("at", 54)
     low = F.shiftrightunsigned("at", 44)
@@ -105,8 +114,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epoch
     words_in = F.least(end, (F.col("block") + 1) * block_words) - F.greatest(F.col("start"), F.col("block") * block_words)
     pieces = pieces.select("id", "source", "at", "nth", "size", "block", words_in.alias("words"))
 
-    blocks = F.ceil(F.col("source_size") / block_words)
-    ranked = schedule(shares, slots).alias("r").join(shares.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")))
+    ranked = schedule(by_blocks, slots).alias("r").join(shares.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")))
     taken_blocks = ranked.where(F.col("rank") < blocks * max_epochs).select(F.col("s.source").alias("source"), F.pmod(F.col("rank"), blocks).alias("block")).groupBy("source", "block").agg(F.count(F.lit(1)).alias("times"))
     met = pieces.alias("p").join(taken_blocks.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source")) & (F.col("p.block") == F.col("t.block")))
     per_doc = met.groupBy(*[F.col(f"p.{c}").alias(c) for c in ("id", "source", "at", "nth", "size")]).agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
@@ -119,11 +127,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epoch
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it: its taken words over its size, rounded; those without words never."""
+    """The rows of ``docs``, with their columns, each as often as the mix takes it: its taken words over its size, rounded.
+
+    Rows without words never appear. Of rows equal in id, source and text each
+    appears as often as the others, by what is taken of them together. An empty table gives an
+    empty table; any further columns, whatever their names, stay as they are.
+    """
     id_col, text_col, seed = how.get("id_col", "doc_id"), how.get("text_col", "text"), how.get("seed", 42)
     source_col = how.get("source_col", "source")
-    plan = mix(docs, **how).where("taken > 0").groupBy(id_col, "source", "size", "at").agg(F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("rows"))
-    times = plan.select(F.col(id_col).alias("_id"), F.col("source").alias("_source"), F.col("at").alias("_at"), F.round(F.col("taken") / (F.col("size") * F.col("rows"))).cast("int").alias("_times")).where("_times > 0")
-    keyed = docs.withColumn("_at2", F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)))
-    met = keyed.join(times, (F.col("_at2") == F.col("_at")) & keyed[id_col].eqNullSafe(times["_id"]) & keyed[source_col].eqNullSafe(times["_source"]))
-    return met.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[keyed[c] for c in docs.columns])
+    plan = mix(docs, **how).where("taken > 0").groupBy(F.col(id_col).alias("id"), "source", "size", "at").agg(F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("rows"))
+    times = plan.select("id", "source", "at", F.round(F.col("taken") / (F.col("size") * F.col("rows"))).cast("int").alias("times")).where("times > 0")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("at"))
+    met = rows.alias("d").join(times.alias("t"), (F.col("d.at") == F.col("t.at")) & F.col("d.id").eqNullSafe(F.col("t.id")) & F.col("d.source").eqNullSafe(F.col("t.source")))
+    return met.select("doc", F.explode(F.sequence(F.lit(1), F.col("times")))).select("doc.*")
