@@ -38,4 +38,4 @@ def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations under regions: a unit universe of two levels."""
     n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    return n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).select(F.col("n_nationkey").alias("unit_id"), F.col("n_name").alias("unit_name"), F.col("r_regionkey").alias("parent_id"), F.col("r_name").alias("parent_name"))
+    return n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_nationkey").alias("unit_id"), F.col("n_name").alias("unit_name"), F.col("r_regionkey").alias("parent_id"), F.col("r_name").alias("parent_name"))

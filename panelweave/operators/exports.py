@@ -146,5 +146,5 @@ def trend_bundle(annual: DataFrame, unit: list[str], alpha: float = 0.05, replic
     """Slope, components, permutation p and q of each unit's complete years."""
     s = annual.where("status = 'ok'").select(*unit, "year", "rate")
     parts = D.sen_slope(s, unit, "year", "rate").join(D.mk_components(s, unit, "year", "rate").drop("t"), unit).join(D.mk_permutation(s, unit, "year", "rate", replications, seed), unit)
-    tested = D.benjamini_hochberg(parts, "p", unit, alpha=alpha)
+    tested = D.benjamini_hochberg(parts, "p", alpha=alpha)
     return parts.join(tested.select(*unit, "bh_q", "bh_rejected"), unit, "left")

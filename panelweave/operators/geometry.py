@@ -11,9 +11,11 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 RING = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
 POLYGON = T.ArrayType(RING)
@@ -227,13 +229,74 @@ def _cells(df: DataFrame, box: dict[str, Column], size: float) -> DataFrame:
     return out.withColumn("_cy", F.explode(F.sequence(f(box["y0"]), f(box["y1"]))))
 
 
-def points_in_units(points: DataFrame, units: DataFrame, id_col: str, unit_col: str = "unit_id", cell: float = 1.0, within: bool = False) -> DataFrame:
+class UnitIndex:
+    """Polygons in cells of about their mean extent; those over ``most_cells`` cells are tested for every point."""
+
+    def __init__(self, rows: list, most_cells: int = 256):
+        self.polys = [r["polygon"] for r in rows]  # in the order in which they win: by area, then by id
+        boxes = np.array([[r["x0"], r["y0"], r["x1"], r["y1"]] for r in rows], float).reshape(-1, 4)
+        self.boxes = boxes
+        extent = np.concatenate([boxes[:, 2] - boxes[:, 0], boxes[:, 3] - boxes[:, 1]])
+        self.cell = float(extent.mean()) if len(extent) and extent.mean() > 0 else 1.0
+        self.cells: dict[tuple[int, int], list[int]] = {}
+        self.large: list[int] = []
+        for k, (x0, y0, x1, y1) in enumerate(np.floor(boxes / self.cell).astype(np.int64).tolist()):
+            if (x1 - x0 + 1) * (y1 - y0 + 1) > most_cells:
+                self.large.append(k)
+            else:
+                for at in ((x, y) for x in range(x0, x1 + 1) for y in range(y0, y1 + 1)):
+                    self.cells.setdefault(at, []).append(k)
+
+    def find(self, xs: np.ndarray, ys: np.ndarray, within: bool) -> np.ndarray:
+        """The place of the polygon that holds each point, -1 if none."""
+        out = np.full(len(xs), -1, np.int64)
+        fine = np.flatnonzero(np.isfinite(xs) & np.isfinite(ys))
+        cx, cy = (np.floor(v[fine] / self.cell).astype(np.int64) for v in (xs, ys))
+        order = np.lexsort((cy, cx))
+        fine, cx, cy = fine[order], cx[order], cy[order]
+        cuts = [0, *(np.flatnonzero((cx[1:] != cx[:-1]) | (cy[1:] != cy[:-1])) + 1).tolist(), len(fine)]
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            if s == e:
+                continue
+            left = fine[s:e]
+            for k in sorted([*self.cells.get((int(cx[s]), int(cy[s])), ()), *self.large]):
+                x0, y0, x1, y1 = self.boxes[k]
+                near = left[(xs[left] >= x0) & (xs[left] <= x1) & (ys[left] >= y0) & (ys[left] <= y1)]
+                if len(near):
+                    at = locate(self.polys[k], xs[near], ys[near])
+                    hit = near[at > 0 if within else at >= 0]
+                    out[hit] = k
+                    left = left[out[left] < 0]
+        return out
+
+
+def points_in_units(points: DataFrame, units: DataFrame, id_col: str, unit_col: str = "unit_id", cell: float = 1.0, within: bool = False, most_vertices: int = 1_000_000) -> DataFrame:
     """Left join of points (x, y) to the polygon that holds them: adds ``unit_col``, NULL if none.
 
     Boundaries count unless ``within``. Of several the smallest area wins, then
-    the smallest id. Grid cells make it an equality join; boxes prune before the
-    exact test, which runs on Arrow batches.
+    the smallest id. Units with ``most_vertices`` corners at most in all, which a
+    count shows, go to every task, and the points are not moved at all: only x
+    and y go to Python. Beyond that, points and polygons meet by grid cell.
     """
+    area = polygon_area(F.col("polygon"))
+    corners = F.aggregate("polygon", F.lit(0).cast("long"), lambda n, r: n + F.size(r))
+    if (units.agg(F.sum(corners)).first()[0] or 0) > most_vertices:
+        return _points_by_cell(points, units, id_col, unit_col, cell, within)
+    rows = units.select(F.col(unit_col).alias("unit"), "polygon", area.alias("area"), *[v.alias(k) for k, v in bounds(F.col("polygon")).items()]).orderBy("area", "unit").collect()
+    kind = units.schema[unit_col].dataType
+    shared = points.sparkSession.sparkContext.broadcast((UnitIndex(rows), pa.array([r["unit"] for r in rows], to_arrow_type(kind))))
+
+    @F.arrow_udf(kind)
+    def holder(x: pa.Array, y: pa.Array) -> pa.Array:
+        index, names = shared.value
+        at = index.find(x.to_numpy(zero_copy_only=False), y.to_numpy(zero_copy_only=False), within)
+        return names.take(pa.array(at, mask=at < 0))
+
+    return points.withColumn(unit_col, holder(F.col("x").cast("double"), F.col("y").cast("double")))
+
+
+def _points_by_cell(points: DataFrame, units: DataFrame, id_col: str, unit_col: str, cell: float, within: bool) -> DataFrame:
+    """Grid cells make it an equality join; boxes prune before the exact test, which runs on Arrow batches."""
     polys = units.select(F.col(unit_col).alias("_unit"), F.col("polygon").alias("_poly"), polygon_area(F.col("polygon")).alias("_area"))
     box = bounds(F.col("_poly"))
     polys = _cells(polys.withColumns({f"_{k}": v for k, v in box.items()}), {k: F.col(f"_{k}") for k in box}, cell)
@@ -243,7 +306,7 @@ def points_in_units(points: DataFrame, units: DataFrame, id_col: str, unit_col:
     def test(batches):
         for b in batches:
             keep = []
-            for u, rows in b.groupby("_unit", sort=False):
+            for _, rows in b.groupby("_unit", sort=False):
                 at = locate(rows["_poly"].iloc[0], rows["x"].to_numpy(), rows["y"].to_numpy())
                 keep.append(rows.loc[at > 0 if within else at >= 0, ["_id", "_unit", "_area"]])
             if keep:

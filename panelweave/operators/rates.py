@@ -82,7 +82,7 @@ def seasonality(clim: DataFrame, unit: list[str], tiny: float = 1e-15) -> DataFr
 def departure(child: DataFrame, parent: DataFrame, key: str, child_value: str, parent_value: str) -> DataFrame:
     """Child rate less its parent's own rate (never the mean of the children)."""
     p = parent.select(key, F.col(parent_value).alias("parent_rate"))
-    return child.join(F.broadcast(p), key).withColumn("departure", F.col(child_value) - F.col("parent_rate"))
+    return child.join(p, key).withColumn("departure", F.col(child_value) - F.col("parent_rate"))
 
 
 def four_states(panel: DataFrame, left: str, right: str, parent: str, states: tuple = ("both", "left_only", "right_only", "neither")) -> DataFrame:

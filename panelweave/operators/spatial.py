@@ -51,12 +51,23 @@ def _dense(values: pd.DataFrame, edges: pd.DataFrame, unit: str, value: str):
     return v[unit].tolist(), v[value].to_numpy(float), [sorted(x) for x in near]
 
 
-def moran_permutation(values: DataFrame, edges: DataFrame, unit: str, value: str, permutations: int = 9999, seed: int = 20260822, most_units: int = 5000) -> dict:
-    """Global I with a two-sided permutation p about its expectation. Units are a dimension: at most ``most_units`` go to the driver."""
+def _within(edges: DataFrame, units: DataFrame, unit: str) -> DataFrame:
+    """The edges between the units."""
+    out = edges.select("i", "j")
+    for end in ("i", "j"):
+        out = out.join(units.select(F.col(unit).alias(end)), end, "left_semi")
+    return out
+
+
+def moran_permutation(values: DataFrame, edges: DataFrame, unit: str, value: str, permutations: int = 9999, seed: int = 20260822, most_units: int = 5000, most_degree: int = 100) -> dict:
+    """Global I with a two-sided permutation p about its expectation. Units are a dimension: more than ``most_units``, or than ``most_degree`` neighbours a unit, raise."""
     got = values.select(unit, value).limit(most_units + 1).toPandas()
     if len(got) > most_units:
         raise ValueError(f"over {most_units} units")
-    _, x, near = _dense(got, edges.toPandas(), unit, value)
+    pairs = _within(edges, values.select(unit), unit).limit(most_units * most_degree + 1).toPandas()
+    if len(pairs) > most_units * most_degree:
+        raise ValueError(f"over {most_degree} neighbours a unit")
+    _, x, near = _dense(got, pairs, unit, value)
     n, keep = len(x), [k for k, v in enumerate(near) if v]
     z = x - x.mean()
     if not keep or not (z**2).sum():
@@ -71,8 +82,8 @@ def moran_permutation(values: DataFrame, edges: DataFrame, unit: str, value: str
     return {"moran_i": float(i0), "p": float((1 + hit) / (1 + permutations)), "status": "ok"}
 
 
-def local_moran_permutation(values: DataFrame, edges: DataFrame, unit: str, value: str, permutations: int = 9999, seed: int = 20260822, alpha: float = 0.05) -> DataFrame:
-    """Adds raw_p, bh_q and class to the local statistic.
+def local_moran_permutation(values: DataFrame, edges: DataFrame, unit: str, value: str, permutations: int = 9999, seed: int = 20260822, alpha: float = 0.05, most_units: int = 5000) -> DataFrame:
+    """Adds raw_p, bh_q and class to the local statistic; more than ``most_units`` units raise, since every task draws from all of them.
 
     Neighbours are drawn without replacement from the others; p is that of the
     smaller tail plus one, not doubled. Each unit has a stream of its own, seeded by
@@ -81,8 +92,12 @@ def local_moran_permutation(values: DataFrame, edges: DataFrame, unit: str, valu
     w = row_standardised(edges)
     loc = local_moran(values, w, unit, value)
     degree = edges.groupBy(F.col("i").alias(unit)).agg(F.count(F.lit(1)).alias("degree"))
-    ranked = loc.join(degree, unit, "left").withColumn("_rank", F.row_number().over(Window.orderBy(unit)) - 1)
-    zs = np.array([r[0] for r in ranked.orderBy("_rank").select("z").collect()], float)  # a dimension, as large as the unit universe
+    order = [r for r in loc.select(unit, "z").orderBy(unit).limit(most_units + 1).collect()]
+    if len(order) > most_units:
+        raise ValueError(f"over {most_units} units")
+    zs = np.array([r["z"] for r in order], float)
+    ranks = loc.sparkSession.createDataFrame([(r[unit], k) for k, r in enumerate(order)], f"`{unit}` {dict(loc.dtypes)[unit]}, _rank long")
+    ranked = loc.join(degree, unit, "left").join(ranks, unit)
     kind = dict(values.dtypes)[unit]
 
     def run(batches):
@@ -105,13 +120,13 @@ def local_moran_permutation(values: DataFrame, edges: DataFrame, unit: str, valu
 
     ps = ranked.select(F.col(unit).alias("u"), "_rank", "z", "local_i", "degree").mapInPandas(run, f"u {kind}, raw_p double")
     both = loc.join(ps, loc[unit] == ps["u"], "left").drop("u")
-    tested = benjamini_hochberg(both.where("raw_p is not null"), "raw_p", [unit], alpha=alpha).select(F.col(unit).alias("_u"), "bh_q", "bh_rejected")
+    tested = benjamini_hochberg(both.where("raw_p is not null"), "raw_p", alpha=alpha).select(F.col(unit).alias("_u"), "bh_q", "bh_rejected")
     out = both.join(tested, both[unit] == tested["_u"], "left").drop("_u")
     return out.withColumn("class", F.when(F.col("lag").isNull(), "island").when(F.col("bh_rejected"), F.col("quadrant")).otherwise("NS"))
 
 
 def lisa_class(local: DataFrame, p: str = "raw_p", unit: str = "unit_id", alpha: float = 0.05) -> DataFrame:
     """Class of each unit from given p values: HH, LL, HL, LH only if BH rejects; islands are labelled."""
-    tested = benjamini_hochberg(local.where(F.col(p).isNotNull()), p, [unit], alpha=alpha).select(F.col(unit).alias("_u"), "bh_q", "bh_rejected")
+    tested = benjamini_hochberg(local.where(F.col(p).isNotNull()), p, alpha=alpha).select(F.col(unit).alias("_u"), "bh_q", "bh_rejected")
     out = local.join(tested, local[unit] == tested["_u"], "left").drop("_u")
     return out.withColumn("class", F.when(F.col("lag").isNull(), "island").when(F.col("bh_rejected"), F.col("quadrant")).otherwise("NS"))

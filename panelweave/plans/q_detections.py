@@ -115,7 +115,7 @@ def weekly_metrics(spark, d):
 
 
 COVER = (202401, 202402)
-SPINE = "spine AS (SELECT CAST(u.n_nationkey AS BIGINT) AS unit_id, n_name AS unit_name, m.yyyymm FROM nation u, (SELECT CAST(unnest([202312, 202401, 202402, 202403]) AS BIGINT) AS yyyymm) m)"
+SPINE = "spine AS (SELECT CAST(u.n_nationkey AS BIGINT) AS unit_id, n_name AS unit_name, m.yyyymm FROM nation u, (SELECT CAST(o // 12 * 100 + o % 12 + 1 AS BIGINT) AS yyyymm FROM (SELECT unnest(range((SELECT min(year(ts) * 12 + month(ts)) - 2 FROM events), (SELECT max(year(ts) * 12 + month(ts)) + 1 FROM events))) AS o)) m)"
 FILLED = METRICS + f""", {SPINE},
 s AS (SELECT spine.*, yyyymm BETWEEN 202401 AND 202402 AS cov FROM spine),
 j AS (SELECT s.*, det_low, det_nominal, det_high, det_nh, pct_high_conf, frp_active_days, frp_sum, frp_mean, frp_p95, days_active_nh, streak_max_nh
@@ -125,15 +125,22 @@ filled AS (SELECT unit_id, unit_name, yyyymm, cov, CASE WHEN cov THEN coalesce(d
 """
 
 
+def spine_rows(spark, d):
+    """Every unit in every month of the table, and in one before and after."""
+    first, last = detections(spark, d).agg(F.min("acq_date"), F.max("acq_date")).first()
+    o = [first.year * 12 + first.month - 2, last.year * 12 + last.month]
+    return P.spine(units(spark, d).select("unit_id", "unit_name"), *[k // 12 * 100 + k % 12 + 1 for k in o])
+
+
 def filled_panel(spark, d):
     m = D.monthly_metrics(detections(spark, d), ["unit_id", "yyyymm"])
-    panel = P.onto_spine(P.spine(units(spark, d).select("unit_id", "unit_name"), 202312, 202403), m, ["unit_id", "yyyymm"])
+    panel = P.onto_spine(spine_rows(spark, d), m, ["unit_id", "yyyymm"])
     return P.fill_covered(panel, P.in_coverage(*COVER))
 
 
 @query("q_spine", f"WITH {SPINE} SELECT * FROM spine")
 def spine(spark, d):
-    return out(P.spine(units(spark, d).select("unit_id", "unit_name"), 202312, 202403))
+    return out(spine_rows(spark, d))
 
 
 @query("q_balanced_panel", FILLED + "SELECT unit_id, unit_name, yyyymm, det_low, det_nominal, det_high, det_nh, frp_active_days, round(frp_sum, 6) AS frp_sum, round(frp_mean, 6) AS frp_mean, pct_high_conf, round(frp_p95, 6) AS frp_p95, days_active_nh, streak_max_nh FROM filled")

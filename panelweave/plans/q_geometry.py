@@ -44,6 +44,40 @@ def point_in_cell(spark, d):
     return out(G.points_in_units(pts, squares(spark, d).withColumnRenamed("unit_id", "cell_id"), "event_id", "cell_id").select("event_id", "cell_id"))
 
 
+def odd_shapes(spark, d):
+    """The squares with a hole in the middle (even ids), or without their upper right quarter (odd ids)."""
+    n = F.col("n_nationkey")
+    x, y = n % 5, F.floor(n / 5)
+    p = lambda dx, dy: F.struct((x + dx).cast("double").alias("x"), (y + dy).cast("double").alias("y"))
+    hole = F.array(p(0.25, 0.25), p(0.75, 0.25), p(0.75, 0.75), p(0.25, 0.75), p(0.25, 0.25))
+    corner = F.array(F.array(p(0, 0), p(1, 0), p(1, 0.5), p(0.5, 0.5), p(0.5, 1), p(0, 1), p(0, 0)))
+    return table(spark, d, "nation").select(n.alias("cell_id"), F.when(n % 2 == 0, F.concat(G.square(x, y), F.array(hole))).otherwise(corner).alias("polygon"))
+
+
+ODD = f"""WITH {DET}, c AS (SELECT CAST(n_nationkey AS BIGINT) AS cell_id, n_nationkey % 2 AS odd, n_nationkey % 5 AS cx, n_nationkey // 5 AS cy FROM nation),
+h AS (SELECT event_id, min(cell_id) AS cell_id FROM det JOIN c ON x BETWEEN cx AND cx + 1 AND y BETWEEN cy AND cy + 1 WHERE CASE WHEN odd = 1 THEN NOT (x > cx + 0.5 AND y > cy + 0.5) ELSE NOT (x > cx + 0.25 AND x < cx + 0.75 AND y > cy + 0.25 AND y < cy + 0.75) END GROUP BY 1)
+SELECT event_id, h.cell_id FROM det LEFT JOIN h USING (event_id)"""
+
+
+@query("q_point_in_odd_shape", ODD)
+def point_in_odd_shape(spark, d):
+    pts = detections(spark, d).select("event_id", "x", "y")
+    return out(G.points_in_units(pts, odd_shapes(spark, d), "event_id", "cell_id").select("event_id", "cell_id"))
+
+
+@query("q_point_in_odd_shape_by_cell", ODD)
+def point_in_odd_shape_by_cell(spark, d):
+    """The same by the join of cells, which units beyond the bound take."""
+    pts = detections(spark, d).select("event_id", "x", "y")
+    return out(G.points_in_units(pts, odd_shapes(spark, d), "event_id", "cell_id", most_vertices=0).select("event_id", "cell_id"))
+
+
+@query("q_odd_overlay", "SELECT CAST(a.n_nationkey AS BIGINT) AS unit_id, CAST(a.n_nationkey AS BIGINT) AS cell_id, 0.75::DOUBLE AS area FROM nation a")
+def odd_overlay(spark, d):
+    o = G.overlay(squares(spark, d), odd_shapes(spark, d), "unit_id", "cell_id")
+    return out(o.select("unit_id", "cell_id", "area"))
+
+
 @query("q_land_mask", f"WITH {DET} SELECT x BETWEEN 0 AND 2.5 AND y BETWEEN 0 AND 5 AS in_mask, count(*) AS n FROM det GROUP BY 1")
 def mask(spark, d):
     pts = detections(spark, d).select("event_id", "x", "y")

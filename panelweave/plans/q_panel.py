@@ -87,7 +87,7 @@ def coverage_diff(spark, d):
 
 @query("q_reconcile_parent", f"WITH {MON}, c AS (SELECT parent_id, yyyymm, sum(area) AS area, sum(quantity) AS quantity FROM p GROUP BY ALL), l AS (SELECT 'area' AS field, area AS a, CASE WHEN yyyymm % 100 = 7 THEN area + 1 ELSE area END AS b FROM c UNION ALL SELECT 'quantity', quantity, quantity FROM c) SELECT field, count(*) AS compared, count(*) FILTER (abs(a - b) > 1e-8 + 1e-10 * abs(b)) AS mismatched, CAST(0 AS BIGINT) AS null_state, max(abs(a - b)) AS max_abs, round(max(CASE WHEN b <> 0 THEN abs(a - b) / abs(b) END), 6) AS max_rel FROM l GROUP BY field")
 def reconcile(spark, d):
-    kids = monthly(spark, d).join(F.broadcast(units(spark, d).select("unit_id", "parent_id")), "unit_id")
+    kids = monthly(spark, d).join(units(spark, d).select("unit_id", "parent_id"), "unit_id")
     parents = kids.groupBy("parent_id", "yyyymm").agg(F.sum("area").alias("area"), F.sum("quantity").alias("quantity")).withColumn("area", F.when(F.col("yyyymm") % 100 == 7, F.col("area") + 1).otherwise(F.col("area")))
     return out(C.reconcile(kids, parents, ["parent_id", "yyyymm"], ["area", "quantity"]))
 

@@ -24,7 +24,7 @@ def annual(spark, d):
 
 
 def summaries(spark, d):
-    return R.unit_summary(annual(spark, d), ["unit_id"]).join(F.broadcast(units(spark, d).select("unit_id", "parent_id")), "unit_id")
+    return R.unit_summary(annual(spark, d), ["unit_id"]).join(units(spark, d).select("unit_id", "parent_id"), "unit_id")
 
 
 @query("q_annual_rate", ANNUAL + "SELECT unit_id, year, round(total, 6) AS total, support, status, round(rate, 6) AS rate FROM r")
@@ -75,7 +75,7 @@ PARENT = ", pr AS (SELECT parent_id, sum(area) / (count(DISTINCT yyyymm) / 12.0)
 def departure(spark, d):
     u = units(spark, d).select("unit_id", "parent_id")
     support = u.groupBy("parent_id").agg(F.sum(100 + 7 * F.col("unit_id")).cast("double").alias("support"))
-    pm = monthly(spark, d).join(F.broadcast(u), "unit_id").groupBy("parent_id", "yyyymm").agg(F.sum("area").alias("area")).join(support, "parent_id")
+    pm = monthly(spark, d).join(u, "unit_id").groupBy("parent_id", "yyyymm").agg(F.sum("area").alias("area")).join(support, "parent_id")
     parents = R.unit_summary(R.annual_rate(pm, ["parent_id"], "area", "support"), ["parent_id"])
     return out(R.departure(summaries(spark, d), parents, "parent_id", "mean_annual_rate", "mean_annual_rate").select("unit_id", "parent_id", "mean_annual_rate", "parent_rate", "departure"))
 

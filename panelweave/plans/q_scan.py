@@ -39,11 +39,11 @@ def time_index(spark, d):
     return out(S.time_index(199803, 200004, spark))
 
 
-CLUST = "cl AS (SELECT CAST(p_partkey AS BIGINT) AS k, p_partkey % 25 + 1 AS loc, 2000 + p_partkey % 3 AS y, p_partkey % 12 + 1 AS m, p_partkey % 7 / 100.0 AS p, p_size FROM part WHERE p_partkey < 200)"
+CLUST = "cl AS (SELECT CAST(p_partkey AS BIGINT) AS k, p_partkey % 25 + 1 AS loc, 2000 + p_partkey % 3 AS y, p_partkey % 12 + 1 AS m, p_partkey % 7 / 100.0 AS p, p_size FROM part)"
 
 
 def cluster_lines(spark, d):
-    p = table(spark, d, "part").where("p_partkey < 200")  # a file of 200 clusters
+    p = table(spark, d, "part")
     k = F.col("p_partkey")
     return p.select(F.concat_ws("  ", k.cast("string"), (k % 25 + 1).cast("string"), F.lit("1.5"), F.lit("2.5"), F.lit("0"), F.lit("0"), F.concat_ws("/", (2000 + k % 3).cast("string"), (k % 12 + 1).cast("string"), F.lit("1")), F.lit("2003/12/31"), F.col("p_size").cast("string"), F.lit("12.5"), F.format_string("<%.2f", (k % 7 / 100.0)), F.lit("10"), F.lit("4.0"), F.lit("2.5")).alias("value"))
 
@@ -53,20 +53,19 @@ def scan_parse(spark, d):
     return out(S.parse_clusters(cluster_lines(spark, d)).select("cluster", "location", "start", "n_locations", "p", "months"))
 
 
-MEMB = "mb AS (SELECT CAST(o_custkey % 25 + 1 AS VARCHAR) AS location, CAST(o_orderkey % 40 AS BIGINT) AS cluster, o_orderkey % 9 / 100.0 AS p FROM orders)"
+MEMB = "mb AS (SELECT CAST(o_custkey % 25 + 1 AS VARCHAR) AS location, CAST((o_custkey % 25 + 1) * (1 + o_orderkey % 7) % 40 AS BIGINT) AS cluster, o_orderkey % 9 / 100.0 AS p FROM orders)"
 
 
 def members(spark, d):
     o = table(spark, d, "orders")
-    lines = o.select(F.concat_ws(" ", (F.col("o_custkey") % 25 + 1).cast("string"), (F.col("o_orderkey") % 40).cast("string"), F.format_string("%.2f", F.col("o_orderkey") % 9 / 100.0)).alias("value"))
+    lines = o.select(F.concat_ws(" ", (F.col("o_custkey") % 25 + 1).cast("string"), ((F.col("o_custkey") % 25 + 1) * (1 + F.col("o_orderkey") % 7) % 40).cast("string"), F.format_string("%.2f", F.col("o_orderkey") % 9 / 100.0)).alias("value"))
     return S.parse_members(lines)
 
 
-@query("q_recurrence", f"WITH {MEMB}, s AS (SELECT * FROM mb WHERE p <= 0.05 AND cluster % 3 = CAST(location AS INT) % 3), t AS (SELECT count(DISTINCT cluster) AS total FROM s), u AS (SELECT CAST(n_nationkey + 1 AS VARCHAR) AS location, n_nationkey % 6 <> 0 AS eligible FROM nation), k AS (SELECT location, count(DISTINCT cluster) AS k FROM s GROUP BY 1) SELECT u.location, CASE WHEN eligible THEN coalesce(k, 0) END AS clusters, total, CASE WHEN eligible THEN round(coalesce(k, 0) / total, 6) END AS fraction FROM u LEFT JOIN k USING (location), t")
+@query("q_recurrence", f"WITH {MEMB}, s AS (SELECT * FROM mb WHERE p <= 0.05), t AS (SELECT count(DISTINCT cluster) AS total FROM s), u AS (SELECT CAST(n_nationkey + 1 AS VARCHAR) AS location, n_nationkey % 6 <> 0 AS eligible FROM nation), k AS (SELECT location, count(DISTINCT cluster) AS k FROM s GROUP BY 1) SELECT u.location, CASE WHEN eligible THEN coalesce(k, 0) END AS clusters, total, CASE WHEN eligible THEN round(coalesce(k, 0) / total, 6) END AS fraction FROM u LEFT JOIN k USING (location), t")
 def recur(spark, d):
-    m = members(spark, d).where("cluster % 3 = cast(location as int) % 3")
     u = units(spark, d).select((F.col("unit_id") + 1).cast("string").alias("location"), (F.col("unit_id") % 6 != 0).alias("eligible"))
-    return out(S.recurrence(m, u))
+    return out(S.recurrence(members(spark, d), u))
 
 
 @query("q_members_listagg", f"WITH {MEMB}, s AS (SELECT DISTINCT cluster, location FROM mb WHERE p <= 0.05) SELECT cluster, string_agg(location, '|' ORDER BY CAST(location AS INT)) AS members FROM s GROUP BY cluster")

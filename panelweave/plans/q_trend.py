@@ -35,11 +35,11 @@ def acf(spark, d):
     return out(T.autocorrelation(series(spark, d), ["unit_id"], "year", "rate", 2))
 
 
-@query("q_bh", "WITH p AS (SELECT event_id, user_id % 3 AS family, (event_id * 7919 % 10007) / 10007.0 AS p FROM events WHERE event_id < 900), r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p, event_id) AS r, count(*) OVER (PARTITION BY family) AS m FROM p), q AS (SELECT *, least(min(p * m / r) OVER (PARTITION BY family ORDER BY r DESC ROWS UNBOUNDED PRECEDING), 1) AS q FROM r) SELECT event_id, CAST(family AS BIGINT) AS family, round(q, 6) AS bh_q, q <= 0.05 AS bh_rejected FROM q")
+@query("q_bh", "WITH p AS (SELECT event_id, user_id % 3 AS family, (event_id * 7919 % 10007) / 10007.0::DOUBLE AS p FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p, event_id) AS r, count(*) OVER (PARTITION BY family) AS m FROM p), q AS (SELECT *, least(min(p * m / r) OVER (PARTITION BY family ORDER BY r DESC ROWS UNBOUNDED PRECEDING), 1) AS q FROM r) SELECT event_id, CAST(family AS BIGINT) AS family, round(q, 6) AS bh_q, q <= 0.05 AS bh_rejected FROM q")
 def bh(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet").where("event_id < 900")  # the family's definition: 900 tests
+    e = spark.read.parquet(f"{d}/events.parquet")
     p = e.select("event_id", (F.col("user_id") % 3).alias("family"), (F.col("event_id") * 7919 % 10007 / F.lit(10007.0)).alias("p"))
-    return out(T.benjamini_hochberg(p, "p", ["event_id"], ["family"]).select("event_id", "family", "bh_q", "bh_rejected"))
+    return out(T.benjamini_hochberg(p, "p", ["family"]).select("event_id", "family", "bh_q", "bh_rejected"))
 
 
 @query("q_mk_perm_pcg64")
@@ -47,23 +47,21 @@ def mk_perm(spark, d):
     return out(T.mk_permutation(series(spark, d), ["unit_id"], "year", "rate"))
 
 
-@query("q_sen_ci")
+@query("q_sen_ci", SERIES + """,
+t AS (SELECT unit_id, sum(c * (c - 1) * (2 * c + 5)) AS ties FROM (SELECT unit_id, rate, count(*) AS c FROM s GROUP BY ALL) GROUP BY 1),
+n AS (SELECT unit_id, count(*) AS n, median(rate) AS my, median(year) AS mx FROM s GROUP BY 1),
+b AS (SELECT unit_id, list(slope ORDER BY slope) AS l, median(slope) AS slope, count(*) AS k FROM pairs GROUP BY 1),
+h AS (SELECT *, 1.959963984540054 * sqrt((n * (n - 1) * (2 * n + 5) - ties) / 18.0) AS half FROM b JOIN n USING (unit_id) JOIN t USING (unit_id))
+SELECT unit_id, round(slope, 6) AS sen_slope, round(my - slope * mx, 6) AS intercept, round(l[greatest(CAST(round_even((k - half) / 2, 0) AS BIGINT) - 1, 0) + 1], 6) AS low, round(l[least(CAST(round_even((k + half) / 2, 0) AS BIGINT), k - 1) + 1], 6) AS high FROM h""")
 def sen_ci(spark, d):
     return out(T.sen_with_interval(series(spark, d), ["unit_id"], "year", "rate"))
 
 
 @query("q_mk_perm_hash", SERIES + """,
-reps AS (SELECT CAST(unnest(range(200)) AS BIGINT) AS rep),
+reps AS (SELECT CAST(unnest(range(9999)) AS BIGINT) AS rep),
 perm AS (SELECT unit_id, rep, rate, row_number() OVER (PARTITION BY unit_id, rep ORDER BY md5('20260822|' || rep || '|' || unit_id || '|' || year)) AS i FROM s, reps),
 sg AS (SELECT a.unit_id, a.rep, CAST(sum(sign(b.rate - a.rate)) AS BIGINT) AS score FROM perm a JOIN perm b ON a.unit_id = b.unit_id AND a.rep = b.rep AND a.i < b.i GROUP BY ALL),
 o AS (SELECT unit_id, CAST(sum(sg) AS BIGINT) AS score FROM pairs GROUP BY 1)
-SELECT unit_id, o.score, count(*) FILTER (abs(sg.score) >= abs(o.score)) AS extreme, round((1 + count(*) FILTER (abs(sg.score) >= abs(o.score))) / 201.0, 6) AS p FROM o JOIN sg USING (unit_id) GROUP BY unit_id, o.score""")
+SELECT unit_id, o.score, count(*) FILTER (abs(sg.score) >= abs(o.score)) AS extreme, round((1 + count(*) FILTER (abs(sg.score) >= abs(o.score))) / 10000.0, 6) AS p FROM o JOIN sg USING (unit_id) GROUP BY unit_id, o.score""")
 def mk_perm_hash(spark, d):
-    """The permutation by random keys that both engines share: an md5 of seed, replicate, unit and year."""
-    s = series(spark, d)
-    keyed = s.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(199)))).withColumn("key", F.md5(F.concat_ws("|", F.lit("20260822"), F.col("rep").cast("string"), F.col("unit_id").cast("string"), F.col("year").cast("string")).cast("binary")))
-    sign_sum = lambda arr: F.aggregate(F.transform(arr, lambda x, i: F.aggregate(F.slice(arr, i + 2, F.size(arr)), F.lit(0), lambda acc, z: acc + F.signum(z - x).cast("int"))), F.lit(0), lambda a, b: a + b)
-    perms = keyed.groupBy("unit_id", "rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("key", "rate"))), lambda z: z["rate"]).alias("y"))
-    obs = s.groupBy("unit_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("year", "rate"))), lambda z: z["rate"]).alias("y")).select("unit_id", sign_sum(F.col("y")).alias("score"))
-    got = perms.select("unit_id", sign_sum(F.col("y")).alias("ps")).join(obs, "unit_id").groupBy("unit_id", "score").agg(F.count_if(F.abs("ps") >= F.abs("score")).alias("extreme"))
-    return out(got.withColumn("p", (1 + F.col("extreme")) / F.lit(201.0)))
+    return out(T.mk_permutation_by_hash(series(spark, d), ["unit_id"], "year", "rate"))

@@ -8,6 +8,7 @@ import hashlib
 import io
 import json
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -177,20 +178,27 @@ def write_csv_parts(df: DataFrame, path: str, sort: list[str], columns: list[str
 
 
 def write_output(path: str, data: bytes, root: str, overwrite: bool = False) -> dict:
-    """An atomic write below ``root`` of a run; what is there already is an error unless ``overwrite``. Returns path, bytes and SHA-256."""
-    import os
-    import tempfile
-
-    full = os.path.realpath(os.path.join(root, path))
-    if not full.startswith(os.path.realpath(root) + os.sep):
+    """A write below ``root`` of a run, in any store that Hadoop reaches: to a name of its own, then renamed. What is there already is an error unless ``overwrite``. Returns path, bytes and SHA-256."""
+    if path.startswith("/") or ".." in path.split("/") or ":" in path.split("/")[0]:
         raise ValueError(f"{path} leaves the run's folder")
-    if os.path.exists(full) and not overwrite:
-        raise FileExistsError(full)
-    os.makedirs(os.path.dirname(full), exist_ok=True)
-    fd, tmp = tempfile.mkstemp(dir=os.path.dirname(full))
-    with os.fdopen(fd, "wb") as f:
-        f.write(data)
-    os.replace(tmp, full)
+    fs, full = _fs(SparkSession.active(), f"{root.rstrip('/')}/{path}")
+    if fs.exists(full):
+        if not overwrite:
+            raise FileExistsError(full.toString())
+    hadoop = SparkSession.active().sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs.mkdirs(full.getParent())
+    fs.setWriteChecksum(False)
+    tmp = hadoop(full.getParent(), f".{uuid.uuid4().hex}.tmp")
+    stream = fs.create(tmp, False)
+    try:
+        stream.write(bytearray(data))
+    finally:
+        stream.close()
+    if overwrite:
+        fs.delete(full, False)
+    if not fs.rename(tmp, full):
+        fs.delete(tmp, False)
+        raise OSError(f"{full.toString()} cannot be written")
     return {"path": path, "bytes": len(data), "sha256": hashlib.sha256(data).hexdigest()}
 
 

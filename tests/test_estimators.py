@@ -15,7 +15,7 @@ from panelweave.operators import trend as T
 
 def test_bh(spark):
     df = spark.createDataFrame([(i, p) for i, p in enumerate((0.01, 0.04, 0.03, 0.2, 0.5))], "i int, p double")
-    q = [r["bh_q"] for r in T.benjamini_hochberg(df, "p", ["i"]).orderBy("i").collect()]
+    q = [r["bh_q"] for r in T.benjamini_hochberg(df, "p").orderBy("i").collect()]
     assert np.allclose(q, [0.05, 0.2 / 3, 0.2 / 3, 0.25, 0.5])
 
 
