@@ -12,9 +12,7 @@ but teaches and scores by its n-grams, all of them.
 
 from __future__ import annotations
 
-import math
 import re
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -54,58 +52,59 @@ def _gram_counts(runs: DataFrame, longest: int) -> DataFrame:
     return windows.select("lang", "n", F.explode(prefixes).alias("g")).groupBy("g", "lang").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, docs_per_lang: int = 3000, longest: int = 4, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> dict:
+def train(docs: DataFrame, docs_per_lang: int = 3000, least_seen: int = 2, longest: int = 4, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> dict:
     """A model from the labelled rows of ``docs``; without languages if there is none.
 
     About ``docs_per_lang`` documents of a language are learned from (by a hash
     of id and text; all where there are fewer), which bounds the model
-    whatever the input. Of these documents all words and n-grams count.
+    whatever the input. A word is known if it is seen ``least_seen`` times in
+    these documents; n-grams are taken from all runs of letters. The model is made of flat arrays.
     """
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(sizes)
-    model = {"langs": langs, "longest": longest, "words": {}, "grams": {}, "starts": array("L", [0]), "lang": array("H"), "gain": array("d"), "base": ([0.0] * len(langs), [0.0] * len(langs))}
     if not langs:
-        return model
+        return {"langs": [], "longest": longest}
     ring = 1 << 20
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(ring * min(1.0, docs_per_lang / n)))])
-    some = labelled.where(F.pmod(F.xxhash64("id", "text"), F.lit(ring)) < F.element_at(share, F.col("lang")))
+    place = F.create_map(*[F.lit(x) for i, lang in enumerate(langs) for x in (lang, i)])
+    some = labelled.where(F.pmod(F.xxhash64("id", "text"), F.lit(ring)) < F.element_at(share, F.col("lang"))).select(F.element_at(place, F.col("lang")).alias("lang"), "text")
     runs = some.select("lang", F.explode(F.split(F.lower("text"), SPLIT)).alias("w")).where("w <> ''").groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n")).persist()
     try:
-        words = runs.where(F.length("w") <= WORD).select("w", "lang", "n").toPandas()
-        grams = _gram_counts(runs, longest).toPandas()
+        words = _entries(runs.where(F.length("w") <= WORD).withColumnRenamed("w", "entry"), least_seen)
+        grams = _entries(_gram_counts(runs, longest).withColumnRenamed("g", "entry"), 1)
     finally:
         runs.unpersist()
-    model["base"] = (_enter(model, "words", words), _enter(model, "grams", grams))
-    return model
-
-
-def _enter(model: dict, kind: str, counted) -> list[float]:
-    """Adds the entries of (entry, lang, n) to the model; returns the log frequency in each language of an entry it never has.
-
-    Frequencies are smoothed by one half. Only languages that have an entry are
-    kept with it: what its log frequency is above that of one never seen.
-    """
-    entries, place = model[kind], {lang: i for i, lang in enumerate(model["langs"])}
-    counted.columns = ["entry", "lang", "n"]
-    for entry, lang, n in counted.sort_values(["entry", "lang"]).itertuples(index=False):
-        if entry not in entries:
-            entries[entry] = len(model["starts"]) - 1
-            model["starts"].append(model["starts"][-1])
-        model["lang"].append(place[lang])
-        model["gain"].append(math.log((n + 0.5) / 0.5))
-        model["starts"][-1] += 1
-    totals = counted.groupby("lang")["n"].sum().to_dict()
-    return [math.log(0.5 / (totals.get(lang, 0) + 0.5 * len(entries) + 0.5)) for lang in model["langs"]]
+    base, parts = [], {"sizes": [], "lang": [], "gain": []}
+    for table in (words, grams):
+        lang, n = (table.column(c).combine_chunks() for c in ("lang", "n"))
+        place_of, counts = lang.flatten().to_numpy(), n.flatten().to_numpy()
+        total = np.bincount(place_of, weights=counts, minlength=len(langs)) + 0.5 * table.num_rows + 0.5
+        base.append(np.log(0.5 / total))  # the log frequency of an entry that a language never has; others are kept by what they have above it
+        parts["sizes"].append(np.diff(lang.offsets.to_numpy()))
+        parts["lang"].append(place_of.astype(np.int64))
+        parts["gain"].append(np.log((counts + 0.5) / 0.5))
+    joined = {k: np.concatenate(v) for k, v in parts.items()}
+    starts = np.concatenate([[0], np.cumsum(joined["sizes"])]).astype(np.int64)
+    return {"langs": langs, "longest": longest, "words": words.column("entry").combine_chunks(), "grams": grams.column("entry").combine_chunks(), "starts": starts, "lang": joined["lang"], "gain": joined["gain"], "base": np.array(base)}
+
+
+def _entries(counts: DataFrame, least: int) -> pa.Table:
+    """(entry, lang list, n list) of (entry, lang, n), of the entries seen ``least`` times."""
+    rows = counts.groupBy("entry").agg(F.sort_array(F.collect_list(F.struct("lang", "n"))).alias("of"), F.sum("n").alias("seen")).where(F.col("seen") >= least)
+    return rows.select("entry", "of.lang", "of.n").toArrow()
 
 
 class Scorer:
     """Scores texts by a model; keeps what covers ``keep`` unseen words at most, none of over WORD letters."""
 
     def __init__(self, model: dict, keep: int = 60_000):
-        self.langs, self.words, self.grams, self.longest, self.keep = model["langs"], model["words"], model["grams"], model["longest"], keep
-        self.starts, self.lang, self.gain = (np.array(model[k], kind) for k, kind in (("starts", np.int64), ("lang", np.int64), ("gain", np.float64)))
-        self.base = np.array(model["base"])
+        self.langs, self.longest, self.keep = model["langs"], model["longest"], keep
+        if self.langs:
+            n = len(model["words"])
+            self.words = dict(zip(model["words"].to_pylist(), range(n), strict=True))
+            self.grams = dict(zip(model["grams"].to_pylist(), range(n, n + len(model["grams"])), strict=True))
+            self.starts, self.lang, self.gain, self.base = model["starts"], model["lang"], model["gain"], model["base"]
         self.unseen: dict[str, tuple[int, ...]] = {}
 
     def backed_off(self, word: str) -> tuple[int, ...]:

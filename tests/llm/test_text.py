@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -9,6 +10,7 @@ import pytest
 import regex as re
 from tokenizers import Tokenizer
 
+from panelweave.llm import bpe as B
 from panelweave.llm import language_id as L
 from panelweave.llm import license_scan as N
 from panelweave.llm.bpe import WordBPE, bpe_round_trip
@@ -76,6 +78,16 @@ def test_token_counts_against_plain_viterbi(spark):
     assert token_counts(df.where("doc_id = 9"), path, P.PATTERN).count() == 0
 
 
+def test_token_counts_of_a_very_long_word_take_linear_time():
+    counter = UnigramCounter(read_ranks(P.path("byte_bpe_50k.tiktoken")), P.PATTERN)
+    rng = random.Random(2)
+    word = "".join(rng.choices("etaoinshr", k=1_000_000))
+    began = time.process_time()
+    [(n, m)] = counter.count_batch([word])
+    assert time.process_time() - began < 30 and m == 1 and not counter.known
+    assert counter.count_batch([word[:3000]])[0][0] == viterbi(word[:3000].encode(), counter.score)
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = L.identify_documents(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
@@ -112,6 +124,10 @@ def brute_language(docs):
                 words.setdefault(lang, Counter())[w] += 1
             grams.setdefault(lang, Counter()).update(w[i : i + k] for i in range(len(w)) for k in range(1, 5) if i + k <= len(w))
     langs = sorted(grams)
+    seen = Counter()
+    for table in words.values():
+        seen.update(table)
+    words = {k: Counter({w: n for w, n in table.items() if seen[w] > 1}) for k, table in words.items()}
     logs = []
     for table in (words, grams):
         entries = set().union(*[table.get(k, {}) for k in langs])
@@ -228,3 +244,39 @@ def test_license_wrapped_and_abridged_texts(spark):
     assert [got[i]["licenses"] for i in range(11)] == ["MIT", "Apache-2.0", "BSD-3-Clause|BSD-2-Clause", "GPL-3.0", "GPL-2.0|GPL"] * 2 + ["proprietary"]
     assert got[0]["sentence_ids"] == "mit.title2 mit.grant mit.notice as_is" and got[1]["sentence_ids"] == "apache.short apache.may_not apache.as_is"
     assert got[2]["sentence_ids"] == "bsd.grant bsd.no_endorse" and got[10]["n_sentences"] == 301
+
+
+def test_license_headers_of_more_licences(spark):
+    texts = {
+        "ISC": "ISC License\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+        "0BSD": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+        "Zlib": "Permission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:\n\n1. The origin of this software must not be misrepresented;",
+        "Unlicense": "This is free and unencumbered software released into the public domain.",
+        "GPL-3.0": "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License.\n\n# SPDX-License-Identifier: GPL-3.0-or-later\n",
+        "LGPL-2.1": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.",
+        "AGPL-3.0": "                    GNU AFFERO GENERAL PUBLIC LICENSE\n                       Version 3, 19 November 2007\n\n Copyright",
+        "CC-BY-NC-SA-4.0": "This work is licensed under the Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+        "BSD-3-Clause": "// SPDX-License-Identifier: BSD-3-Clause\nint main();",
+    }
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts.values())], SCHEMA)
+    got = {r["doc_id"]: r["licenses"] for r in N.license_scan(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts)
+
+
+def test_pieces_of_a_very_long_word_and_batches():
+    with open(P.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        coder = WordBPE(f.read())
+    word = "".join(random.Random(1).choices("abcdefgh", k=200_000))
+    texts = [word, word + " a", "a " * 1000, ""]
+    want = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    for (joined, n, _), t in zip(coder.encode_batch(texts), texts, strict=True):
+        ids = want.encode(t, add_special_tokens=False).ids if len(t) < 5000 else None
+        assert ids is None or (joined, n) == (" ".join(map(str, ids)), len(ids))
+    assert all(len(k) <= B.KEEP_LENGTH for k in coder.known)
+    coder.forget()
+    assert not coder.known and not coder.known_older
+    import pyarrow as pa
+
+    column = pa.array(["x" * n for n in (10, B.BATCH_LENGTH, B.BATCH_LENGTH + 5, 0, 3)] + [None] * 1000)
+    cuts = list(B.portions(column))
+    assert [i for lo, n in cuts for i in range(lo, lo + n)] == list(range(len(column))) and max(n for _, n in cuts) <= B.BATCH
