@@ -16,17 +16,20 @@ from collections.abc import Iterator
 from itertools import chain
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .words import trie_walk
 
-#: Runs, and words, whose encodings a worker keeps in its newer half; when that is full it becomes the older half,
-#: from which those met again return, so that frequent ones stay.
+#: Encodings that a task keeps in its newer half; when that is full it becomes the older half, from which those met
+#: again return, so that frequent ones stay.
 KEEP = 120_000
-#: Texts whose new words are walked together.
-BATCH = 1024
+#: The longest run that is kept, in characters, so that KEEP bounds bytes too; longer ones are encoded anew.
+KEEP_LENGTH = 64
+#: Texts, and characters of them, whose new words are walked together; a longer text is walked alone.
+BATCH, BATCH_LENGTH = 512, 1 << 20
 #: What a token without a merge is made of.
 BASE = (-1, "", "")
 #: A vocabulary entry not yet looked at.
@@ -78,10 +81,13 @@ class WordBPE:
             self.made.setdefault(pair[0] + pair[1], (i, *pair))
         self.size_of = {t: len(self.split(t)) for t in self.vocab}
         self.pair_ok: dict[tuple[str, str], bool] = {}
+        #: the encodings of runs and of words, a word being a run of one piece
         self.known: dict[str | tuple[str], tuple[str, ...]] = {}
         self.known_older: dict[str | tuple[str], tuple[str, ...]] = {}
-        self.words: dict[str, tuple[str, ...]] = {}
-        self.words_older: dict[str, tuple[str, ...]] = {}
+
+    def forget(self) -> None:
+        """Drops all that was kept from texts; what comes from the vocabulary stays."""
+        self.pair_ok, self.known, self.known_older = {}, {}, {}
 
     def symbols(self, word: str) -> tuple[str, ...]:
         s = word.encode().decode("latin-1").translate(self.symbol)
@@ -160,9 +166,9 @@ class WordBPE:
         raise ValueError("a byte without a token")
 
     def learn(self, words) -> None:
-        """Encodes distinct words that were not seen before, all in one walk."""
+        """Encodes distinct words that are not known, all in one walk."""
         back = {self.symbols(w): w for w in words}
-        size_of, known = self.size_of, self.words
+        size_of, known = self.size_of, self.known
         for symbols, states in trie_walk(back, self.enter, None):
             tokens, i = [], len(symbols)
             while i:
@@ -186,39 +192,39 @@ class WordBPE:
             return self.pattern.findall(low)
         return low.split()
 
-    def learn_runs(self, runs) -> None:
-        """Makes runs known: from the older half, as added tokens, or from their words."""
-        older, pieces = self.known_older.get, {}
+    def learn_runs(self, runs) -> list[str]:
+        """Makes runs known: from the older half, as added tokens, or from their words; returns what is too long to keep."""
+        known, older, pieces = self.known, self.known_older.get, {}
         for r in runs:
             found = older(r)
             if found is not None:
-                self.known[r] = found
+                known[r] = found
             elif r.__class__ is tuple:
-                self.known[r] = r
+                known[r] = r
             else:
                 pieces[r] = self.pattern.findall(r)
-        fresh = set(chain.from_iterable(pieces.values())) - self.words.keys()
-        kept = {w: self.words_older[w] for w in fresh & self.words_older.keys()}
-        self.words.update(kept)
+        fresh = set(chain.from_iterable(pieces.values())) - known.keys()
+        kept = {w: found for w in fresh if (found := older(w)) is not None}
+        known.update(kept)
         self.learn(fresh - kept.keys())
-        words = self.words
         for r, ws in pieces.items():
-            self.known[r] = words[ws[0]] if len(ws) == 1 else tuple(chain.from_iterable([words[w] for w in ws]))
+            known[r] = known[ws[0]] if len(ws) == 1 else tuple(chain.from_iterable([known[w] for w in ws]))
+        return list({x for r, ws in pieces.items() if len(r) > KEEP_LENGTH for x in (r, *ws) if len(x) > KEEP_LENGTH})
 
     def encode_batch(self, texts: list[str]) -> Iterator[tuple[str, int, str]]:
         """(ids joined by blanks, their number, decoded text) of each text."""
         if len(self.known) > KEEP:
             self.known, self.known_older = {}, self.known
-        if len(self.words) > KEEP:
-            self.words, self.words_older = {}, self.words
         rows = [self.chunks(t) for t in texts]
         get, id_text = self.known.get, self.id_text.__getitem__
         found = [list(map(get, row)) for row in rows]
         fresh = [k for k, f in enumerate(found) if None in f]
         if fresh:
-            self.learn_runs({r for k in fresh for r, f in zip(rows[k], found[k], strict=True) if f is None})
+            too_long = self.learn_runs({r for k in fresh for r, f in zip(rows[k], found[k], strict=True) if f is None})
             for k in fresh:
                 found[k] = list(map(get, rows[k]))
+            for r in too_long:
+                del self.known[r]
         for f in found:
             tokens = list(chain.from_iterable(f))
             yield " ".join(map(id_text, tokens)), len(tokens), " ".join(tokens)
@@ -229,6 +235,20 @@ def lowered(text: str) -> str:
     return text.lower() if text.isascii() or "Σ" not in text else "".join(c.lower() for c in text)
 
 
+def portions(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first, number) of runs of texts that hold BATCH texts and BATCH_LENGTH bytes at most, or one text."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    lo = held = 0
+    for i, n in enumerate(sizes):
+        if i > lo and (i - lo == BATCH or held + n > BATCH_LENGTH):
+            yield lo, i - lo
+            lo, held = i, 0
+        held += n
+    if lo < len(sizes):
+        yield lo, len(sizes) - lo
+
+
+#: Encoders of a worker, with what they took from the vocabulary only: between tasks they hold nothing of the texts.
 _ENCODERS: dict[str, WordBPE] = {}
 
 
@@ -246,7 +266,7 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
     contents (about 2 MB) travel with the task. Whole texts are encoded, null as
     empty: no tokens, hashes of the empty string. Repeated rows and extra columns
     do not matter; an empty table gives an empty table. A task holds one Arrow
-    batch and the words it has seen, which are bounded in number.
+    batch and encodings of words met, bounded in number and length, and drops these at its end.
     """
     with open(vocabulary, encoding="utf-8") as f:
         definition = f.read()
@@ -254,19 +274,23 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
 
     def run(batches):
         coder = encoder(shared.value)
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            for lo in range(0, batch.num_rows, BATCH):
-                rows = []
-                for joined, n, decoded in coder.encode_batch([t or "" for t in texts.slice(lo, BATCH).to_pylist()]):
-                    rows.append((n, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), joined if keep_text else None, decoded if keep_text else None))
-                cols = list(zip(*rows, strict=True))
-                out = [ids.slice(lo, BATCH), pa.array(cols[0], pa.int64()), pa.array(cols[1]), pa.array(cols[2])]
-                names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                if keep_text:
-                    out += [pa.array(cols[3]), pa.array(cols[4])]
-                    names += ["ids", "decoded"]
-                yield pa.RecordBatch.from_arrays(out, names)
+        try:
+            for batch in batches:
+                ids, texts = batch.column(0), batch.column(1)
+                for lo, n in portions(texts):
+                    rows = []
+                    for joined, count, decoded in coder.encode_batch([t or "" for t in texts.slice(lo, n).to_pylist()]):
+                        rows.append((count, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), joined if keep_text else None, decoded if keep_text else None))
+                    cols = list(zip(*rows, strict=True))
+                    out = [ids.slice(lo, n), pa.array(cols[0], pa.int64()), pa.array(cols[1]), pa.array(cols[2])]
+                    names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                    if keep_text:
+                        out += [pa.array(cols[3]), pa.array(cols[4])]
+                        names += ["ids", "decoded"]
+                    yield pa.RecordBatch.from_arrays(out, names)
+        finally:
+            coder.forget()
+            pa.default_memory_pool().release_unused()
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids string, decoded string" if keep_text else "")
