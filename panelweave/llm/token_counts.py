@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from .words import trie_walk
 
-#: Pre-tokens whose counts a worker keeps before it starts anew.
-KEEP = 400_000
+#: Pre-tokens whose counts a worker keeps before it starts anew, and the longest kept, so that bytes are bounded too.
+KEEP, KEEP_LENGTH = 400_000, 64
+#: Bytes from which on a pre-token is no part of the trie.
+LONG = 1 << 16
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -41,25 +43,42 @@ class UnigramCounter:
         norm = math.log(sum(1.0 / (r + 1) for r in ranks.values()))
         self.score = {t: -math.log(r + 1) - norm for t, r in ranks.items()}
         self.endings = {t[i:] for t in self.score for i in range(len(t))}
+        self.longest = max(map(len, self.score))
         self.pattern = regex.compile(pattern)
         self.known: dict[str, int] = {}
 
     def enter(self, path: list[int], states: list[tuple[float, int]]) -> tuple[float, int]:
         n, best, count = len(path), -math.inf, 0
-        word, score, endings = bytes(path), self.score, self.endings
-        for i in range(n - 1, -1, -1):
+        word, score, endings = bytes(path[-self.longest :]), self.score, self.endings  # no token is longer
+        skipped = n - len(word)
+        for i in range(len(word) - 1, -1, -1):
             tail = word[i:]
             if tail not in endings:
                 break
             s = score.get(tail)
             if s is not None:
-                s += states[i][0]
+                before = states[skipped + i]
+                s += before[0]
                 if s >= best:
-                    best, count = s, states[i][1] + 1
+                    best, count = s, before[1] + 1
         return best, count
 
+    def alone(self, word: bytes) -> int:
+        """Tokens of one very long word, by the same steps with the last states only."""
+        states, path = [(0.0, 0)], []
+        for symbol in word:
+            path.append(symbol)
+            states.append(self.enter(path, states))
+            if len(path) > 4 * self.longest:
+                del path[: -self.longest]
+                del states[: -self.longest - 1]
+        return states[-1][1]
+
     def learn(self, words) -> None:
+        """Stores the tokens of distinct words, by one walk of their trie; those of over LONG bytes, which would hold as many states, go alone."""
         back = {w.encode(): w for w in words}
+        for word in [w for w in back if len(w) > LONG]:
+            self.known[back.pop(word)] = self.alone(word)
         for word, states in trie_walk(back, self.enter, (0.0, 0)):
             self.known[back[word]] = states[-1][1]
 
@@ -72,9 +91,13 @@ class UnigramCounter:
         found = [list(map(get, row)) for row in rows]
         fresh = [k for k, f in enumerate(found) if None in f]
         if fresh:
-            self.learn({w for k in fresh for w, f in zip(rows[k], found[k], strict=True) if f is None})
+            new = {w for k in fresh for w, f in zip(rows[k], found[k], strict=True) if f is None}
+            self.learn(new)
             for k in fresh:
                 found[k] = list(map(get, rows[k]))
+            for w in new:
+                if len(w) > KEEP_LENGTH:
+                    del self.known[w]
         return [(sum(f), len(f)) for f in found]
 
 
