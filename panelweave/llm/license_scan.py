@@ -7,6 +7,8 @@ licence rules, each an ordered list of identifiers that may have other sentences
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,6 +83,40 @@ FULL_SENTENCES = (
     ("gpl3.either", "either version 3 of the license or at your option any later version"),
     ("bsd.grant", SENTENCES["bsd.grant"] + " 1"),
     ("mpl2.short", "this source code form is subject to the terms of the mozilla public license v"),
+    ("isc.grant", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("0bsd.grant", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("zlib.grant", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+    ("zlib.grant", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions 1"),
+    ("unlicense.domain", "this is free and unencumbered software released into the public domain"),
+    ("bsl.title", "boost software license version 1 0 august 17th 2003"),
+    ("lgpl3.title", "gnu lesser general public license version 3 29 june 2007"),
+    ("lgpl21.title", "gnu lesser general public license version 2 1 february 1999"),
+    ("agpl3.title", "gnu affero general public license version 3 19 november 2007"),
+    ("gpl3.terms_either", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("gpl2.terms_either", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("agpl3.terms_either", "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("lgpl3.terms_either", "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("lgpl.terms", "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("lgpl21.either", "either version 2 1 of the license or at your option any later version"),
+    ("epl2.terms", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0"),
+)
+
+# Identifiers of the licence list that stand alone after "SPDX-License-Identifier:".
+SPDX = ("0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MPL-2.0", "Unlicense", "Zlib")
+
+
+def _plain(text: str) -> str:
+    return " ".join(re.findall("[a-z0-9]+", text.lower()))
+
+
+FULL_SENTENCES += tuple((f"spdx.{_plain(x).replace(' ', '_')}", _plain(f"SPDX-License-Identifier: {x}")) for x in SPDX)
+# the Creative Commons licences are named alike in all their combinations
+CREATIVE = (("CC-BY", "attribution"), ("CC-BY-SA", "attribution sharealike"), ("CC-BY-NC", "attribution noncommercial"), ("CC-BY-ND", "attribution noderivatives"), ("CC-BY-NC-SA", "attribution noncommercial sharealike"), ("CC-BY-NC-ND", "attribution noncommercial noderivatives"))
+FULL_SENTENCES += tuple(
+    (f"{_plain(ident).replace(' ', '')}.{kind}", text.format(name))
+    for ident, name in CREATIVE
+    for kind, text in (("a", "this work is licensed under a creative commons {} 4 0 international license"), ("the", "this work is licensed under the creative commons {} 4 0 international license"), ("title", "creative commons {} 4 0 international public license"))
+    if text.format(name) not in SENTENCES.values()
 )
 
 #: The holder's name stands in this sentence: (identifier, start, whole).
@@ -95,7 +131,24 @@ FULL_RULES = (
     ("GPL-2.0", ("gpl2.redistribute",)),
     ("GPL-2.0", ("gpl.terms", "gpl2.either")),
     ("GPL", ("gpl.terms",)),
+    ("ISC", ("isc.grant",)),
+    ("0BSD", ("0bsd.grant",)),
+    ("Zlib", ("zlib.grant",)),
+    ("Unlicense", ("unlicense.domain",)),
+    ("BSL-1.0", ("bsl.title",)),
+    ("GPL-3.0", ("gpl3.terms_either",)),
+    ("GPL-2.0", ("gpl2.terms_either",)),
+    ("AGPL-3.0", ("agpl3.title",)),
+    ("AGPL-3.0", ("agpl3.terms_either",)),
+    ("LGPL-3.0", ("lgpl3.title",)),
+    ("LGPL-3.0", ("lgpl3.terms_either",)),
+    ("LGPL-2.1", ("lgpl21.title",)),
+    ("LGPL-2.1", ("lgpl.terms", "lgpl21.either")),
+    ("EPL-2.0", ("epl2.terms",)),
 )
+#: A licence is named without "only" and "or later", as the rules above name it.
+FULL_RULES += tuple((re.sub("-(only|or-later)$", "", x), (f"spdx.{_plain(x).replace(' ', '_')}",)) for x in SPDX)
+FULL_RULES += tuple((f"{ident}-4.0", (i,)) for ident, _ in CREATIVE for i, _ in FULL_SENTENCES if i.startswith(_plain(ident).replace(" ", "") + "."))
 
 #: A sentence that is wrapped goes on over a line end: it ends at one of . ! ? ; or at a line without letters and digits.
 WRAPPED_END = r"(?:\r\n|\r(?!\n)|\n)[^\p{L}\p{N}\r\n]*[\r\n]|[.!?;]+(?=\s|$)"
@@ -126,8 +179,10 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     most = max((len(text.split()) for _, text in known), default=1)  # a line has a word at least, so no known sentence has more lines
     parts = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), SENTENCE_END), lambda s: F.trim(s) != "")
 
+    texts = [text for _, text in known]
+
     def ident(s: Column) -> Column:
-        got = F.try_element_at(table, s)
+        got = F.when(s.isin(texts), F.try_element_at(table, s)) if texts else F.lit(None).cast("string")  # a set first: a map is searched from its start
         return F.coalesce(got, F.when(F.startswith(s, F.lit(NAMED[1])) & F.rlike(s, F.lit(NAMED[2])), F.lit(NAMED[0]))) if sentences is None else got
 
     def of_lines(lines: Column) -> Column:
@@ -143,7 +198,6 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col), F.size(parts).cast("long").alias("n_sentences"), ids.alias("ids"))
     rows = rows.select(id_col, "n_sentences", F.array_join("ids", " ").alias("sentence_ids"))
     padded = F.concat(F.lit(" "), F.col("sentence_ids"), F.lit(" "))
-    escape = lambda s: s.replace(".", "\\.")
-    fits = [F.when(padded.rlike(".* " + " (?:.* )?".join(map(escape, rule)) + " "), F.lit(name)) for name, rule in rules]
+    fits = [F.when(padded.rlike(".* " + " (?:.* )?".join(map(re.escape, rule)) + " "), F.lit(name)) for name, rule in rules]
     found = F.array_distinct(F.filter(F.array(*fits), lambda x: x.isNotNull())) if fits else F.array().cast("array<string>")
     return rows.select(id_col, "sentence_ids", "n_sentences", F.array_join(found, "|").alias("licenses"), F.size(found).cast("long").alias("n_licenses"))
