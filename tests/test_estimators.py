@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from panelweave.operators import geometry as G2
 from panelweave.operators import pgee as G
 from panelweave.operators import rates as R
 from panelweave.operators import spatial as S
@@ -19,6 +20,37 @@ def test_bh(spark):
     assert np.allclose(q, [0.05, 0.2 / 3, 0.2 / 3, 0.25, 0.5])
 
 
+def test_bh_by_family_with_ties_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, None if i % 7 == 0 else f"f{i % 3}", float(p)) for i, p in enumerate(np.round(rng.random(400) ** 4, 3))] + [(900 + i, "f0", 1.0) for i in range(50)] + [(990, "f1", None), (991, "f1", 0.0), (992, "f2", 5e-324)]
+    df = spark.createDataFrame(rows, "i int, family string, p double")
+    got = {r["i"]: r["bh_q"] for r in T.benjamini_hochberg(df, "p", ["family"]).collect()}
+    want = {}
+    for fam in {r[1] for r in rows}:
+        own = sorted((p, i) for i, f, p in rows if f == fam and p is not None)
+        q = 1.0
+        for r in range(len(own), 0, -1):
+            q = want[own[r - 1][1]] = min(q, own[r - 1][0] * len(own) / r)
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-12) for i in want)
+
+
+def test_units_index_against_the_join_by_cells():
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(40):
+        x, y, w = rng.random() * 10, rng.random() * 10, rng.random() * (9 if k % 10 == 0 else 1)
+        ring = lambda d: [{"x": x + d, "y": y + d}, {"x": x + w - d, "y": y + d}, {"x": x + w - d, "y": y + w - d}, {"x": x + d, "y": y + w - d}]  # noqa: E731, B023
+        rows.append({"polygon": [ring(0), ring(w / 4)], "x0": x, "y0": y, "x1": x + w, "y1": y + w, "area": w * w * 0.75})
+    rows.sort(key=lambda r: r["area"])
+    xs, ys = np.append(rng.random(3000) * 12 - 1, [np.nan, rows[0]["x0"]]), np.append(rng.random(3000) * 12 - 1, [1.0, rows[0]["y0"]])
+    hits = np.array([G2.locate(r["polygon"], xs, ys) for r in rows])
+    for within in (False, True):
+        inside = hits > 0 if within else hits >= 0
+        want = np.where(inside.any(axis=0) & np.isfinite(xs), inside.argmax(axis=0), -1)
+        for most in (4, 256):
+            assert (G2.UnitIndex(rows, most).find(xs, ys, within) == want).all()
+
+
 def test_gini(spark):
     df = spark.createDataFrame([("a", v) for v in (0.0, 1.0, 3.0, 6.0)] + [("b", v) for v in (4.0, 0.0, 0.0, 0.0)] + [("c", 0.0)] * 3 + [("d", -1.0), ("d", 2.0)], "g string, v double")
     got = {r["g"]: r["gini"] for r in R.gini(df, ["g"], "v").collect()}
