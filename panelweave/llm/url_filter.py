@@ -54,7 +54,7 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 def matched_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
     """The longest rule that fits as a struct (rule, verdict), null if none does; of equally long ones the first."""
     out = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for r in sorted(rules, key=lambda r: len(r.text)):
+    for r in sorted(reversed(rules), key=lambda r: len(r.text)):  # a later one goes before
         fits = ((host == r.host) | host.endswith("." + r.host)) & path.startswith(r.path)
         out = F.when(fits, F.struct(F.lit(r.text).alias("rule"), F.lit(r.verdict).alias("verdict"))).otherwise(out)
     return out

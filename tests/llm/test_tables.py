@@ -103,6 +103,60 @@ def test_url_rules(spark):
     assert sum((r["score"] >= 0.5) == (r["verdict"] == "block") for r in judged) / len(judged) > 0.8
 
 
+def brute_tree_scores(x, y, every, cuts, trees, depth, rate):
+    """Scores of the rows ``every`` by trees grown row by row."""
+    base = y.mean()
+    margin, out = np.full(len(y), np.log(base / (1 - base))), np.full(len(every), np.log(base / (1 - base)))
+    for _ in range(trees):
+        prob = 1 / (1 + np.exp(-margin))
+        g, h = y - prob, prob * (1 - prob)
+        add, add_out = np.zeros(len(y)), np.zeros(len(every))
+
+        def grow(at, at_out, level, g=g, h=h, add=add, add_out=add_out):
+            total, weight = g[at].sum(), h[at].sum()
+            best = (1e-6, None)
+            for j, own in enumerate(cuts) if level < depth else ():
+                for cut in own:
+                    left = at & (x[:, j] <= cut)
+                    a, b = g[left].sum(), h[left].sum()
+                    gain = a * a / (b + 1) + (total - a) ** 2 / (weight - b + 1) - total * total / (weight + 1)
+                    if gain > best[0] + 1e-12:
+                        best = (gain, (j, cut))
+            if best[1] is None:
+                add[at], add_out[at_out] = rate * total / (weight + 1), rate * total / (weight + 1)
+                return
+            j, cut = best[1]
+            grow(at & (x[:, j] <= cut), at_out & (every[:, j] <= cut), level + 1)
+            grow(at & (x[:, j] > cut), at_out & (every[:, j] > cut), level + 1)
+
+        grow(np.ones(len(y), bool), np.ones(len(every), bool), 0)
+        margin, out = margin + add, out + add_out
+    return 1 / (1 + np.exp(-out))
+
+
+def test_url_trees_against_brute_force(spark):
+    rng = random.Random(6)
+    hosts = ["a.example.org", "news.com", "x-y.shop.com", "plain.net", "deep.sub.site.io"]
+    urls = [f"http://{rng.choice(hosts)}/{rng.choice(['de', 'fr', 'es', 'p'])}/{'d' * rng.randrange(6)}{rng.randrange(10 ** rng.randrange(1, 7))}" + "".join(f"{'&' if k else '?'}q{k}={k}" for k in range(rng.randrange(4))) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").coalesce(1)
+    got = {r["page_id"]: (r["rule"], r["score"]) for r in U.judge(df, trees=3, bins=6).collect()}
+    model = U.fit(df.select("url"), trees=3, bins=6)
+    host, path = U.url_parts(F.col("url"))
+    numbers = df.select("page_id", U.matched_rule(host, path, U.RULES)["verdict"].alias("y"), *[c.alias(k) for k, c in model.columns(F.col("url"), host, path).items()])
+    labelled = numbers.where("y is not null")
+    found = labelled.agg(*[F.percentile(k, F.array(*[F.lit(i / 6) for i in range(1, 6)])).alias(k) for k in model.names]).first()
+    rows, mine = numbers.toPandas(), labelled.toPandas()
+    want = brute_tree_scores(mine[model.names].to_numpy(float), (mine["y"] == "block").to_numpy(float), rows[model.names].to_numpy(float), [sorted(set(found[k])) for k in model.names], 3, 2, 0.4)
+    assert len(set(np.round(want, 6))) > 3
+    assert all(got[i][1] == pytest.approx(s, abs=1e-9) for i, s in zip(rows["page_id"], want, strict=True))
+
+
+def test_the_first_of_equally_long_rules_wins(spark):
+    rules = (U.Rule("a.org", "/b", "allow"), U.Rule("b.a.org", "", "block"), U.Rule("a.org", "/c", "block"), U.Rule("a.org", "/c", "allow"))
+    df = spark.createDataFrame([("http://a.org/c/x",)], "url string")
+    assert df.select(U.matched_rule(*U.url_parts(F.col("url")), rules).alias("m")).first()["m"]["verdict"] == "block"
+
+
 def test_url_without_labels(spark):
     df = spark.createDataFrame([(1, "http://a.net/x"), (2, None), (2, None)], "page_id long, url string")
     assert {(r["verdict"], r["score"]) for r in U.judge(df).collect()} == {("allow", None)}
@@ -204,7 +258,7 @@ def test_embedding_audit_shows_lost_small_groups(spark):
 @pytest.mark.parametrize("zipped", [True, False])
 def test_warc_round_trip(spark, zipped):
     inner = "WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.1\r\nWARC-Record-ID: <urn:x-page:99>\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
-    rows = [(i, f"http://a/{i}", "x" * (i % 7) + inner, 1) for i in range(60)] + [(300, None, None, 1), (301, "a\r\nb", "", 1), (302, "http://é/", "é\r\n\r\n" * 3, 1), (303, "u", "q" * 700_000, 1), (304, "u", "twice", 1), (304, "u", "twice", 1)]
+    rows = [(i, f"http://a/{i}", "x" * (i % 7) + inner, 1) for i in range(60)] + [(300, None, None, 1), (301, "a\r\nb", "", 1), (302, "http://é/", "é\r\n\r\n" * 3, 1), (303, "u", "q" * 700_000, 1), (304, "u", "twice", 1), (304, "u", "twice", 1), (305, "http://a/" + "u" * 700_000, "long address", 1)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, payload_bytes int").repartition(3)
     got = W.archive_and_read(df, compress=zipped).collect()
     assert sorted(r["page_id"] for r in got) == sorted(r[0] for r in rows)
@@ -224,7 +278,103 @@ def test_warc_small_payloads_are_responses_and_chunks_meet(spark):
     df = spark.createDataFrame([(i, "u", "ab" if i % 2 else "long enough " * 40) for i in range(40)], "page_id long, url string, html string").coalesce(1)
     scratch = Scratch(spark, "test")
     for zipped in (True, False):
-        files = scratch.save(W.write_warc(df, f"{scratch.root}/w{zipped}", zipped, min_bytes=10))
+        files = scratch.save(W.write_warc(df, f"{scratch.root}/w{zipped}", scratch, zipped, min_bytes=10))
         got = W.read_warc(files, scratch, chunk=100).collect()
         assert len(got) == 40 and all(r["agrees"] for r in got)
         assert sorted(r["page_id"] for r in got if r["record_type"] == "response") == [*range(1, 38, 2), 38, 39]
+
+
+def test_warc_reads_few_bytes_twice_in_as_many_tasks_as_ranges(spark, tmp_path):
+    rng = random.Random(9)
+    for zipped in (True, False):
+        path = tmp_path / ("a.warc" + ".gz" * zipped)
+        data = b""
+        for i in range(3000):
+            one = W.record(i, f"http://a/{i}", rng.randbytes(rng.randrange(50, 900)), "X")
+            z = W.zlib.compressobj(6, W.zlib.DEFLATED, 31)
+            data += z.compress(one) + z.flush() if zipped else one
+        path.write_bytes(data)
+        held = []
+
+        class Counted(W._Window):
+            def close(self):
+                held.append(self.bytes_read)
+                super().close()
+
+        got = [c for lo in range(0, len(data), 1 << 20) for c in W.candidates_in(str(path.as_uri()), len(data), lo, min(lo + (1 << 20), len(data)), Counted)]
+        assert len(got) >= 3000 and sum(held) < 2 * len(data)
+        files = spark.createDataFrame([(path.as_uri(), len(data), 3000)], "path string, size long, records long")
+        with pytest.raises(RuntimeError, match="whole"):  # the digests of these are no digests
+            W.read_warc(files, Scratch(spark, "test"), chunk=1 << 18)
+
+
+def test_warc_torn_archive_raises(spark):
+    scratch = Scratch(spark, "test")
+    df = spark.createDataFrame([(i, "u", f"page {i} " * 30) for i in range(30)], "page_id long, url string, html string").coalesce(1)
+    for zipped in (True, False):
+        files = scratch.save(W.write_warc(df, f"{scratch.root}/t{zipped}", scratch, zipped))
+        assert W.read_warc(files, scratch).count() == 30
+        r = files.first()
+        path = r["path"].removeprefix("file://")
+        with open(path, "rb") as f:
+            data = f.read()
+        with open(path, "wb") as f:
+            at = len(data) // 2 if zipped else data.index(b"page 17 ")
+            f.write(data[:at] + bytes([data[at] ^ 1]) + data[at + 1 :])
+        with pytest.raises(RuntimeError, match="whole"):
+            W.read_warc(files, scratch)
+
+
+def test_golden_points_past_the_ring(spark):
+    slots = [0, 1, 65_535, 65_536, 3_474_701_532, 3_474_701_533, (1 << 32) - 1, 1 << 32, (1 << 32) + 7, 10**12 + 12_345]
+    df = spark.createDataFrame([(k,) for k in slots], "k long")
+    got = {r["k"]: r["u"] for r in df.select("k", M.golden_point(F.col("k")).alias("u")).collect()}
+    assert got == {k: k * M.GOLDEN % (1 << 32) for k in slots}
+
+
+def brute_mix(rows, block):
+    """Words taken of (id, source, size, at): the schedule slot by slot, blocks laid out in the order of ``at``."""
+    sizes = {}
+    for _, s, n, _ in rows:
+        sizes[s] = sizes.get(s, 0) + n
+    target = filled(sizes, (1.0, 2.0, 3.0))
+    order = sorted((s for s in sizes if sizes[s]), key=lambda s: (s is None, (s or "").encode()))
+    need = {s: target[s] * -(-sizes[s] // block) / sizes[s] for s in order}
+    total, edges, at = sum(need.values()), [], 0.0
+    for s in order:
+        at += need[s]
+        edges.append((round(at / total * 2**32), s))
+    times, seen = {}, dict.fromkeys(order, 0)
+    for k in range(round(total)):
+        u = k * M.GOLDEN % 2**32
+        s = next(s for hi, s in edges if u < hi)
+        rank, seen[s] = seen[s], seen[s] + 1
+        blocks = -(-sizes[s] // block)
+        if rank < 3 * blocks:
+            times[s, rank % blocks] = times.get((s, rank % blocks), 0) + 1
+    out, start = {}, dict.fromkeys(sizes, 0)
+    for i, s, n, _ in sorted(rows, key=lambda r: (r[3], r[0])):
+        lo, start[s] = start[s], start[s] + n
+        out[i] = sum((min(lo + n, (b + 1) * block) - max(lo, b * block)) * times.get((s, b), 0) for b in range(lo // block, (lo + n - 1) // block + 1)) if n else 0
+    return out, target, sizes
+
+
+def test_mix_against_brute_force(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choice([None, "a", "a", "a", "b", "tiny"]) if i else "tiny", " ".join("w" * rng.randrange(0, 90))) for i in range(300)] + [(900, "one", "x y z"), (901, "none", " "), (902, "b", None)]
+    df = spark.createDataFrame([(i, t, "en", s, 0) for i, s, t in rows], DOCS)
+    got = {r["doc_id"]: r for r in M.mix(df, block_words=16).collect()}
+    want, target, sizes = brute_mix([(i, s, len((t or "").split()), got[i]["at"]) for i, s, t in rows], 16)
+    assert {i: r["taken"] for i, r in got.items()} == want
+    for s in sizes:
+        taken = sum(r["taken"] for r in got.values() if r["source"] == s)
+        assert abs(taken - target[s]) <= 3 * 16 and taken <= 3 * sizes[s]
+
+
+def test_mix_stage_with_clashing_names_and_repeats(spark):
+    schema = "doc_id long, text string, source string, _times int, _nth int, _at2 string, t string, d string, at long"
+    df = spark.createDataFrame([(1, "a b c", "s", 1, 2, "mine", "t", "d", 5)] * 2 + [(None, "x y", None, 1, 2, "mine", "t", "d", 5), (3, None, "s", 1, 2, "mine", "t", "d", 5)], schema)
+    got = M.mixed_documents(df)
+    assert got.columns == df.columns
+    rows = list(map(tuple, got.collect()))
+    assert rows and set(rows) <= set(map(tuple, df.where("text is not null").collect()))
