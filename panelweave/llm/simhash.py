@@ -4,8 +4,9 @@ A fingerprint's first 64 bits lie on a ring of ``bits`` + 1 segments. Two
 that differ in at most ``bits`` bits have a segment from which on every chain
 of l consecutive segments differs in at most l * bits / (bits + 1) bits, rounded
 down: 0, 1, 2 and so on. The index makes use of the first two terms: the segment is
-equal, and of the next one's three parts at least two are. Fingerprints that
-share such a key are candidates; longer chains are checked on them, and only
+equal, and of the next one's three parts at least two are; for very many
+fingerprints of the first three: of six parts of the next two segments four are.
+Fingerprints that share such a key are candidates; longer chains are checked on them, and only
 then the full distance. Further words of 64 bits, where asked for, take no part
 in the index and sharpen the last check: the more bits, the closer does their
 distance follow the similarity of the shingles.
@@ -14,8 +15,9 @@ distance follow the similarity of the shingles.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,10 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .scratch import Scratch
 
-PARTS = 3
+#: Parts into which the segments behind the equal one are cut, by their number.
+PARTS = {1: 3, 2: 6}
+#: Fingerprints from which on keys cover two further segments, so that a key stays rare.
+MANY = 1 << 27
 SEED = 42
 #: Shingles whose bits are counted at a time, so that a very long text takes bounded memory.
 CHUNK = 1 << 16
@@ -46,6 +51,7 @@ class Scheme:
     words: int = 1
     total: int | None = None
     distinct: bool = False
+    ahead: int = 1
 
     @staticmethod
     def similar(at_least: float, shingle: int = 5, bits: int = 10, words: int = 4) -> Scheme:
@@ -66,10 +72,11 @@ class Scheme:
                 at = (i + length) % n
                 ring |= span(edges[at], edges[at + 1])
                 chains.append((ring, (length + 1) * self.bits // n))
-            at = (i + 1) % n
-            cuts = [edges[at] + (edges[at + 1] - edges[at]) * j // PARTS for j in range(PARTS + 1)]
-            for dropped in range(PARTS):
-                out.append((span(edges[i], edges[i + 1]) | sum(span(cuts[j], cuts[j + 1]) for j in range(PARTS) if j != dropped), chains))
+            behind = [b for k in range(self.ahead) for b in range(edges[(i + 1 + k) % n], edges[(i + 1 + k) % n + 1])]
+            parts = PARTS[self.ahead]
+            cuts = [len(behind) * j // parts for j in range(parts + 1)]
+            for kept in combinations(range(parts), parts - self.ahead):
+                out.append((span(edges[i], edges[i + 1]) | sum(1 << b for j in kept for b in behind[cuts[j] : cuts[j + 1]]), chains))
         return out
 
     @property
@@ -248,6 +255,8 @@ def _groups(prints: DataFrame, scheme: Scheme, scratch: Scratch, least) -> DataF
     classes = prints.groupBy(*names).agg(F.min(least).alias("own"))
     classes = scratch.save(classes if scheme.words == 1 else classes.withColumn("node", F.monotonically_increasing_id()))
     node = "f0" if scheme.words == 1 else "node"
+    if scheme.bits > 1 and classes.count() > MANY:
+        scheme = replace(scheme, ahead=2)
     linked = connected_components(near_links(classes, scheme, node), scratch)
     member = classes.join(linked.withColumnRenamed("node", node), node, "left").select(*names, "own", F.coalesce("component", node).alias("root"))
     out = scratch.save(member.join(member.groupBy("root").agg(F.min("own").alias("least")), "root").select(*names, "root", "least"))

@@ -88,8 +88,8 @@ def components_of(fps, limit=4):
     return [find(i) for i in range(len(fps))]
 
 
-@pytest.mark.parametrize(("block", "bits", "cells"), [(7, 4, S.CELLS), (8192, 4, 64), (9, 10, 64), (8192, 1, S.CELLS)])
-def test_near_links_keep_every_component(spark, monkeypatch, block, bits, cells):
+@pytest.mark.parametrize(("block", "bits", "cells", "ahead"), [(7, 4, S.CELLS, 1), (8192, 4, 64, 2), (9, 10, 64, 1), (8192, 1, S.CELLS, 1)])
+def test_near_links_keep_every_component(spark, monkeypatch, block, bits, cells, ahead):
     monkeypatch.setattr(S, "CELLS", cells)
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**63, 40, dtype=np.uint64)
@@ -105,7 +105,7 @@ def test_near_links_keep_every_component(spark, monkeypatch, block, bits, cells)
     fps = np.unique(np.array(fps, np.uint64))
     scratch = Scratch(spark, "test")
     df = scratch.save(spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "f0 long"))
-    links = [tuple(r) for r in S.near_links(df, S.Scheme(4, bits), "f0", block).collect()]
+    links = [tuple(r) for r in S.near_links(df, S.Scheme(4, bits, ahead=ahead), "f0", block).collect()]
     signed = {int(v): k for k, v in enumerate(fps.view(np.int64))}
     assert all(bin(int(fps[signed[a]] ^ fps[signed[b]])).count("1") <= bits for a, b in links)
     p = list(range(len(fps)))
@@ -206,3 +206,13 @@ def test_components_random_and_hub(spark):
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test")).collect()}
     assert got == {x: find(x) for x in p}
     assert connected_components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "test")).count() == 0
+
+
+@pytest.mark.parametrize(("bits", "ahead"), [(4, 1), (4, 2), (10, 1), (10, 2), (1, 1)])
+def test_some_key_and_its_chains_hold_for_every_near_pair(bits, ahead):
+    scheme = S.Scheme(4, bits, ahead=ahead)
+    assert all(chains[-1] == ((1 << 64) - 1, bits) for _, chains in scheme.masks)
+    rng = random.Random(bits)
+    for _ in range(3000):
+        diff = sum(1 << b for b in rng.sample(range(64), rng.randrange(bits + 1)))
+        assert any(diff & mask == 0 and all((diff & ring).bit_count() <= most for ring, most in chains) for mask, chains in scheme.masks)
