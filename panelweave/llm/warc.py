@@ -28,10 +28,12 @@ END = b"\r\n\r\n"
 PAGE_URN = "urn:x-page:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
-#: Bytes read at a time.
-STEP = 1 << 18
-#: The longest record head that is looked for.
-HEAD = 1 << 16
+#: Bytes of a block that is read at once, and blocks that are held.
+STEP, HELD = 1 << 18, 4
+#: Bytes that are unpacked at a time, so that little is left over behind a record.
+PIECE = 1 << 15
+#: The most tasks that read archives; beyond, a task reads several ranges.
+TASKS = 1 << 15
 
 
 def payload_digest(data: Column) -> Column:
@@ -55,18 +57,23 @@ def record(page_id, url: str | None, payload: bytes, digest: str, refers_to=None
     return VERSION + "\r\n".join(head).encode("utf-8", "replace") + END + block + END
 
 
-def write_warc(pages: DataFrame, folder: str, compress: bool = True, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def write_warc(pages: DataFrame, folder: str, scratch: Scratch, compress: bool = True, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Writes a record for each row under ``folder``, a file a task; returns (path, size, records).
 
     Of rows with equal payloads of at least ``min_bytes`` bytes, that with the largest id
     is the response and the others revisit it; rows equal in id and payload are
-    all responses if that id is the largest. Null html is the empty payload. A retried task writes a file of
-    another name, and only files of finished tasks are listed.
+    all responses if that id is the largest. Payloads are equal if length, SHA-1
+    and SHA-256 are, as texts can be made that share a SHA-1. Null html is the
+    empty payload. A retried task writes a file of another name, and only files of finished tasks are listed.
     """
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"), payload_digest(payload).alias("digest"))
-    firsts = pages.select(F.col(id_col).alias("page_id"), payload_digest(payload).alias("digest")).groupBy("digest").agg(F.max("page_id").alias("first"))
-    rows = rows.join(firsts, "digest").select("page_id", "url", "payload", "digest", F.when((F.octet_length("payload") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"), ((F.octet_length("payload") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first"))).alias("revisit"))
+    same = ["sha", "digest", "bytes"]
+    keys = [F.sha2(payload, 256).alias("sha"), payload_digest(payload).alias("digest"), F.octet_length(payload).alias("bytes")]
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"), *keys)
+    firsts = pages.select(F.col(id_col).alias("page_id"), *keys).where(F.col("bytes") >= min_bytes).groupBy(*same).agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(*same, "first", F.lit(True).alias("many"))
+    firsts = scratch.save(firsts)  # so that both sides of the join are plain shuffles and a hot payload can be split among tasks
+    revisit = F.coalesce("many", F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("first"))
+    rows = rows.join(firsts, same, "left").select("page_id", "url", "payload", "digest", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
 
     def write(batches):
         fs = where = out = None
@@ -92,18 +99,36 @@ def write_warc(pages: DataFrame, folder: str, compress: bool = True, min_bytes:
 
 
 class _Window:
-    """Random access to a file through one buffered range."""
+    """Random access to a file by blocks, of which the last few used are held."""
 
     def __init__(self, uri: str, size: int):
         fs, path = pafs.FileSystem.from_uri(uri)
-        self.file, self.size, self.at, self.data = fs.open_input_file(path), size, 0, b""
-
-    def get(self, start: int, length: int) -> bytes:
-        length = max(0, min(length, self.size - start))
-        if start < self.at or start + length > self.at + len(self.data):
-            self.file.seek(start)
-            self.at, self.data = start, self.file.read(max(length, STEP) if start + length <= self.size else length)
-        return self.data[start - self.at : start - self.at + length]
+        self.file, self.size, self.blocks, self.bytes_read = fs.open_input_file(path), size, {}, 0
+
+    def block(self, n: int) -> bytes:
+        found = self.blocks.pop(n, None)
+        if found is None:
+            self.file.seek(n * STEP)
+            found = self.file.read(min(STEP, self.size - n * STEP))
+            self.bytes_read += len(found)
+            while len(self.blocks) >= HELD:
+                del self.blocks[next(iter(self.blocks))]
+        self.blocks[n] = found  # last in order: used last
+        return found
+
+    def piece(self, at: int, length: int) -> memoryview:
+        """Up to ``length`` bytes from ``at`` on, of one block; empty at the end of the file."""
+        if at >= self.size:
+            return memoryview(b"")
+        n = at // STEP
+        return memoryview(self.block(n))[at - n * STEP : at - n * STEP + length]
+
+    def get(self, at: int, length: int) -> bytes:
+        """``length`` bytes from ``at`` on, fewer at the end of the file."""
+        out = bytearray()
+        while len(out) < length and (more := self.piece(at + len(out), length - len(out))):
+            out += more
+        return bytes(out)
 
     def close(self):
         self.file.close()
@@ -130,44 +155,41 @@ def _payload(fields: dict, block: bytes) -> tuple[int, str, bool]:
     return len(body), real, real == said and len(body) == full
 
 
-def candidates_in(uri: str, size: int, start: int, stop: int) -> list[dict]:
+def candidates_in(uri: str, size: int, start: int, stop: int, window=_Window) -> list[dict]:
     """Candidates that begin in [start, stop) of a file, each with the offset of its successor."""
-    zipped, w, out = uri.endswith(".gz"), _Window(uri, size), []
+    zipped, w, out = uri.endswith(".gz"), window(uri, size), []
     magic = GZIP_MAGIC if zipped else VERSION
     try:
         at = start
         while at < stop:
-            data = w.get(at, min(STEP, stop - at) + len(magic) - 1)
-            found = [m.start() + at for m in re.finditer(re.escape(magic), data)]
-            at += max(1, len(data) - len(magic) + 1)
-            for offset in found:
-                if offset >= stop:
-                    continue
-                got = _zipped(w, offset) if zipped else _plain(w, offset)
+            here = min(stop, (at // STEP + 1) * STEP)
+            data = w.get(at, here - at + len(magic) - 1)
+            for m in re.finditer(re.escape(magic), data):
+                got = _zipped(w, at + m.start()) if zipped else _plain(w, at + m.start())
                 if got is not None:
                     fields, block, nxt = got
                     n, digest, agrees = _payload(fields, block)
-                    out.append({"offset": offset, "next": nxt, "page_id": _page(fields.get("warc-record-id")), "payload_bytes": n, "payload_digest": digest, "record_type": fields.get("warc-type"), "refers_to": _page(fields.get("warc-refers-to")), "agrees": agrees})
+                    out.append({"offset": at + m.start(), "next": nxt, "page_id": _page(fields.get("warc-record-id")), "payload_bytes": n, "payload_digest": digest, "record_type": fields.get("warc-type"), "refers_to": _page(fields.get("warc-refers-to")), "agrees": agrees})
+            at = here
     finally:
         w.close()
     return out
 
 
 def _zipped(w: _Window, offset: int):
-    z, at, parts = zlib.decompressobj(31), offset, []
+    z, at, text = zlib.decompressobj(31), offset, bytearray()
     try:
         while not z.eof:
-            data = w.get(at, min(STEP, w.size - at))
+            data = w.piece(at, PIECE)
             if not data:
                 return None
-            parts.append(z.decompress(data))
+            text += z.decompress(data)
             at += len(data)
-            if len(parts) == 1 and not parts[0].startswith(VERSION[: len(parts[0])]):
+            if not text.startswith(VERSION[: len(text)]):
                 return None
     except zlib.error:
         return None
-    text = b"".join(parts)
-    head, sep, rest = text.partition(END)
+    head, sep, rest = bytes(text).partition(END)
     if not sep or not head.startswith(VERSION):
         return None
     f = _fields(head)
@@ -180,52 +202,67 @@ def _zipped(w: _Window, offset: int):
 
 
 def _plain(w: _Window, offset: int):
-    head, sep, _ = w.get(offset, HEAD).partition(END)
-    if not sep:
-        return None
-    f = _fields(head)
+    head = bytearray()
+    while (cut := head.find(END)) < 0:  # a head is as long as it is: on to the blank line
+        more = w.piece(offset + len(head), PIECE)
+        if not more:
+            return None
+        head += more
+    f = _fields(bytes(head[:cut]))
     if not f.get("content-length", "").isdecimal():
         return None
-    first, n = offset + len(head) + len(END), int(f["content-length"])
+    first, n = offset + cut + len(END), int(f["content-length"])
     if first + n + len(END) > w.size or w.get(first + n, len(END)) != END:
         return None
     return f, w.get(first, n), first + n + len(END)
 
 
+FOUND = "file long, offset long, next long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, agrees boolean"
+_KINDS = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+
+
 def read_warc(files: DataFrame, scratch: Scratch, chunk: int = 4 << 20) -> DataFrame:
-    """The true records of (path, size): path, offset, page_id, payload_bytes, payload_digest, record_type, refers_to, agrees.
+    """The true records of (path, size, records): file, offset, page_id, payload_bytes, payload_digest, record_type, refers_to, agrees.
 
-    ``agrees`` tells whether a response's payload has the digest that its head gives. An empty file has no records.
+    ``agrees`` tells whether a response's payload has the digest and the length
+    that its head gives. A file whose true records are not ``records`` in
+    number, or of which one does not agree, raises an error. An empty file has no records.
     """
-    ranges = files.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(chunk).cast("long"))).alias("start")).where("size > 0")
-    ranges = ranges.repartition("path", "start")
-    schema = "path string, offset long, next long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, agrees boolean"
+    files = scratch.save(files.withColumn("file", F.monotonically_increasing_id()))
+    ranges = files.where("size > 0").select("file", "path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(chunk).cast("long"))).alias("start"))
+    n = files.agg(F.sum(F.ceil(F.col("size") / chunk))).first()[0] or 1
+    ranges = ranges.repartition(int(max(1, min(n, TASKS))))  # a given number is not coalesced, though the rows are few
+    columns = [x.split() for x in FOUND.split(", ")]
 
     def search(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                rows = [{"path": r["path"], **c} for c in candidates_in(r["path"], r["size"], r["start"], min(r["start"] + chunk, r["size"]))]
+                rows = [{"file": r["file"], **c} for c in candidates_in(r["path"], r["size"], r["start"], min(r["start"] + chunk, r["size"]))]
                 if rows:
-                    cols = [x.split()[0] for x in schema.split(", ")]
-                    kinds = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
-                    yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in rows], kinds[k.split()[1]]) for c, k in zip(cols, schema.split(", "), strict=True)], cols)
+                    yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in rows], _KINDS[k]) for c, k in columns], [c for c, _ in columns])
 
-    found = scratch.save(ranges.mapInArrow(search, schema))
-    reached = scratch.save(found.where("offset = 0").select("path", "offset"))
-    jump = scratch.save(found.select("path", "offset", "next"))
+    found = scratch.save(ranges.mapInArrow(search, FOUND))
+    reached = scratch.save(found.where("offset = 0").select("file", "offset"))
+    jump = scratch.save(found.select("file", "offset", "next"))
+    places = found.select("file", "offset").hint("merge")  # a row a record: too many to broadcast, however small the files are
     n = reached.count()
     while True:
-        ahead = reached.join(jump, ["path", "offset"]).select("path", F.col("next").alias("offset")).join(found.select("path", "offset"), ["path", "offset"], "left_semi")
+        ahead = reached.join(jump.hint("merge"), ["file", "offset"]).select("file", F.col("next").alias("offset")).join(places, ["file", "offset"], "left_semi")
         more = scratch.save(reached.union(ahead).distinct())
         scratch.drop(reached)
         reached, before, n = more, n, more.count()
         if n == before:
             break
-        far = jump.join(jump.select("path", F.col("offset").alias("next"), F.col("next").alias("then")), ["path", "next"]).select("path", "offset", F.col("then").alias("next"))
+        far = jump.join(jump.select("file", F.col("offset").alias("next"), F.col("next").alias("then")).hint("merge"), ["file", "next"]).select("file", "offset", F.col("then").alias("next"))
         longer = scratch.save(far)
         scratch.drop(jump)
         jump = longer
-    return found.join(reached, ["path", "offset"]).drop("next")
+    records = scratch.save(found.join(reached.hint("merge"), ["file", "offset"]).drop("next"))
+    seen = records.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min("agrees").alias("agrees"))
+    torn = files.join(seen, "file", "left").where((F.coalesce("n", F.lit(0)) != F.col("records")) | ~F.coalesce("agrees", F.lit(True))).select("path", "records", "n", "agrees").take(5)
+    if torn:
+        raise RuntimeError(f"archives that do not read back whole: {torn}")
+    return records
 
 
 def archive_and_read(pages: DataFrame, compress: bool = True, min_bytes: int = 0) -> DataFrame:
@@ -236,5 +273,5 @@ def archive_and_read(pages: DataFrame, compress: bool = True, min_bytes: int = 0
     """
     spark: SparkSession = pages.sparkSession
     scratch = Scratch(spark, "warc")
-    files = scratch.save(write_warc(pages, f"{scratch.root}/archives", compress, min_bytes))
+    files = scratch.save(write_warc(pages, f"{scratch.root}/archives", scratch, compress, min_bytes))
     return read_warc(files, scratch).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
