@@ -242,21 +242,19 @@ def read_warc(files: DataFrame, scratch: Scratch, chunk: int = 4 << 20) -> DataF
                     yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in rows], _KINDS[k]) for c, k in columns], [c for c, _ in columns])
 
     found = scratch.save(ranges.mapInArrow(search, FOUND))
+    # a row a record: too many to broadcast, however small the files are, so the joins are by sorting
     reached = scratch.save(found.where("offset = 0").select("file", "offset"))
-    jump = scratch.save(found.select("file", "offset", "next"))
-    places = found.select("file", "offset").hint("merge")  # a row a record: too many to broadcast, however small the files are
-    n = reached.count()
+    places = found.select("file", F.col("offset").alias("next"))
+    jump = scratch.save(found.select("file", "offset", "next").join(places.hint("merge"), ["file", "next"], "left_semi"))
     while True:
-        ahead = reached.join(jump.hint("merge"), ["file", "offset"]).select("file", F.col("next").alias("offset")).join(places, ["file", "offset"], "left_semi")
-        more = scratch.save(reached.union(ahead).distinct())
-        scratch.drop(reached)
-        reached, before, n = more, n, more.count()
-        if n == before:
+        # offsets grow along a chain, so those 2**k records on are none of the 2**k reached before
+        ahead = scratch.save(reached.join(jump.hint("merge"), ["file", "offset"]).select("file", F.col("next").alias("offset")))
+        if ahead.isEmpty():
             break
-        far = jump.join(jump.select("file", F.col("offset").alias("next"), F.col("next").alias("then")).hint("merge"), ["file", "next"]).select("file", "offset", F.col("then").alias("next"))
-        longer = scratch.save(far)
-        scratch.drop(jump)
-        jump = longer
+        more = scratch.save(reached.union(ahead))
+        longer = scratch.save(jump.join(jump.select("file", F.col("offset").alias("next"), F.col("next").alias("then")).hint("merge"), ["file", "next"]).select("file", "offset", F.col("then").alias("next")))
+        scratch.drop(reached, ahead, jump)
+        reached, jump = more, longer
     records = scratch.save(found.join(reached.hint("merge"), ["file", "offset"]).drop("next"))
     seen = records.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min("agrees").alias("agrees"))
     torn = files.join(seen, "file", "left").where((F.coalesce("n", F.lit(0)) != F.col("records")) | ~F.coalesce("agrees", F.lit(True))).select("path", "records", "n", "agrees").take(5)

@@ -319,7 +319,7 @@ def test_warc_torn_archive_raises(spark):
         with open(path, "rb") as f:
             data = f.read()
         with open(path, "wb") as f:
-            at = len(data) // 2 if zipped else data.index(b"page 17 ")
+            at = len(data) - 6 if zipped else data.index(b"page 17 ")  # in the check sum of the last member, or in a payload
             f.write(data[:at] + bytes([data[at] ^ 1]) + data[at + 1 :])
         with pytest.raises(RuntimeError, match="whole"):
             W.read_warc(files, scratch)
