@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from panelweave import runs
 from panelweave.__main__ import main
 from panelweave.operators import exports as E
 from panelweave.operators import geometry as G
@@ -67,4 +68,41 @@ def test_bundles(spark):
 
 def test_command_line(capsys):
     assert main(["list"]) == 0 and "q_monthly_metrics" in capsys.readouterr().out
-    assert main(["sql", "q_spine"]) == 0 and main([]) == 2
+    assert main(["sql", "q_spine"]) == 0 and main([]) == 2 and main(["sql", "none"]) == 2 and main(["run", "none", "x"]) == 2
+    assert main(["doctor"]) == 0 and "pyspark" in capsys.readouterr().out
+    assert main(["plan-years", "--years", "2014-2016,2018", "--years-of", "viirs=2016"]) == 0
+    assert '"modis": [2014, 2015, 2016, 2018], "viirs": [2016]' in capsys.readouterr().out
+    assert main(["run-all", "x", "y", "--only", "q_spine", "--dry-run"]) == 0 and main(["run-all", "x", "y", "--only", "none"]) == 2
+
+
+def test_years():
+    for bad in ("", "14", "2016-2014", "2014-"):
+        with pytest.raises(ValueError):
+            runs.parse_years(bad)
+    with pytest.raises(ValueError):
+        runs.plan_years(["modis", "viirs"], None, {"viirs": "2016"})
+    with pytest.raises(ValueError):
+        runs.plan_years(["modis"], "2016", {"other": "2016"})
+
+
+def test_run_is_resumed_and_validated(spark, tmp_path):
+    out, asked = f"file://{tmp_path}/run", []
+
+    def one(name):
+        def query(s, tables):
+            asked.append(name)
+            if name == "c" and asked.count("c") == 1:
+                raise RuntimeError("lost")
+            return s.range(5).selectExpr("id", f"'{name}' as name", "cast(null as string) as none")
+        return query
+
+    queries = {n: one(n) for n in "abc"}
+    with pytest.raises(RuntimeError):
+        runs.run_all(spark, queries, "", out)
+    assert sorted(runs.status(spark, out)) == ["a", "b"]
+    with pytest.raises(FileExistsError):
+        runs.run_all(spark, queries, "", out)
+    assert runs.run_all(spark, queries, "", out, resume=True) == {"a": "kept", "b": "kept", "c": "done"}
+    assert asked == ["a", "b", "c", "c"] and runs.validate(spark, out) == []
+    spark.range(5).selectExpr("id", "'x' as name", "cast(null as string) as none").write.mode("overwrite").parquet(f"{out}/tables/b")
+    assert runs.validate(spark, out) == ["b"]
