@@ -193,7 +193,8 @@ def _in_blocks(nodes: DataFrame, roots: DataFrame, block: int) -> DataFrame:
     """(root, lo, hi, part, node, copies, v): the nodes of each group in pairs of blocks, each pair together and in order."""
     sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
     rows = roots.join(sizes, "root").join(nodes.select("node", "copies", "v"), "node")
-    parts = F.ceil(F.col("n") / block).cast("int")
+    # blocks grow with the root of the group, so that neither one task nor the number of copies of a row does more
+    parts = F.ceil(F.col("n") / F.least(F.greatest(F.sqrt(F.col("n") * 16), F.lit(128)), F.lit(block))).cast("int")
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     rows = rows.select("root", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), F.col("mine").alias("part"), "node", "copies", "v")
     return rows.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "part", "node")
@@ -316,7 +317,7 @@ def audit_recall(nodes: DataFrame, roots: DataFrame, threshold: float, sample: i
     return min((a / b for a, b in share.values()), default=1.0)
 
 
-def embedding_dedup(rows: DataFrame, threshold: float = 0.98, k: int = 8, rounds: int = 2, most_rounds: int = 6, orders: int = 8, reach: int = 6, block: int = 1024, audit: int = 256, target_recall: float = 0.95, seed: int = 7, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def embedding_dedup(rows: DataFrame, threshold: float = 0.98, k: int = 8, rounds: int = 2, most_rounds: int = 6, orders: int = 8, reach: int = 6, block: int = 2048, audit: int = 256, target_recall: float = 0.95, seed: int = 7, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(id_col, n_links, component_id, kept), one row for each row of ``rows``.
 
     Vectors of one label with cosine >= ``threshold`` in double precision link;
