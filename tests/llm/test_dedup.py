@@ -148,9 +148,9 @@ def brute_similar(texts, limit, bits):
     scheme = S.Scheme.similar(0.8)
     out = []
     for t in texts:
-        w = t.lower().split()
-        grams = {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
-        hs = np.array([xxhash.xxh64_intdigest(g.encode(), 42) for g in grams], np.uint64)
+        w = t.encode().lower().split()
+        grams = {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+        hs = np.array([xxhash.xxh64_intdigest(g, 42) for g in grams], np.uint64)
         words = [hs, *[S._mixed(hs, k) for k in range(1, scheme.words)]]
         out.append([sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in x) > len(x)) for x in words])
     assert out == [S.fingerprint_words(t, scheme) for t in texts]

@@ -353,7 +353,7 @@ def brute_mix(rows, block):
         if rank < 3 * blocks:
             times[s, rank % blocks] = times.get((s, rank % blocks), 0) + 1
     out, start = {}, dict.fromkeys(sizes, 0)
-    for i, s, n, _ in sorted(rows, key=lambda r: (r[3], r[0])):
+    for i, s, n, _ in sorted(rows, key=lambda r: (r[3] % 2**64, r[0])):
         lo, start[s] = start[s], start[s] + n
         out[i] = sum((min(lo + n, (b + 1) * block) - max(lo, b * block)) * times.get((s, b), 0) for b in range(lo // block, (lo + n - 1) // block + 1)) if n else 0
     return out, target, sizes
